@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, quality, toxicity
+from . import bpe, chat, licenses, mixing, pii, quality, toxicity, vectors
 from .common import table
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(vectors.quantised(table(spark, sf_dir, "embeddings")), k=20)
+
+
+OP1_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as q from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+n as (select *, row_number() over (partition by vec_id order by q) as copy from v),
+pairs as (
+  select a.vec_id as query_id, a.copy as qcopy, b.vec_id, b.copy,
+    cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
+  from n a join n b on len(a.q) = len(b.q) and (a.vec_id <> b.vec_id or a.copy <> b.copy) where a.vec_id % 20 = 0),
+ranked as (select *, row_number() over (partition by query_id, qcopy order by score desc, vec_id, copy) as rank from pairs)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20
+"""
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,17 +81,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.regexp_count("base", F.lit(rf"\b{kind}:")).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
 
 
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_chat_format": op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
+    "op7_pii": op7_pii,
     "op10_license_scan": op10_license_scan,
 }
-SQL = {"op3_chat_format": OP3_SQL}
+SQL = {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL}
