@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, pii, quality, toxicity, vectors
+from . import bpe, chat, licenses, mixing, neardup, pii, quality, toxicity, vectors
 from .common import table
 
 
@@ -87,6 +87,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
@@ -100,6 +104,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_license_scan": op10_license_scan,
 }
 SQL = {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL}
