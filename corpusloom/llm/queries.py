@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, neardup, pii, quality, toxicity, vectors
+from . import bpe, chat, katz, licenses, mixing, neardup, pii, quality, toxicity, vectors
 from .common import table
 
 
@@ -91,6 +91,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
@@ -105,6 +109,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_katz_scores": op9_katz_scores,
     "op10_license_scan": op10_license_scan,
 }
 SQL = {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL}
