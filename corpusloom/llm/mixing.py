@@ -152,7 +152,8 @@ def mix(documents: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
     A pass that takes a part of a document keeps that part's words, joined by single spaces.  Rows lie in the
     shard of their first block, in an order given by a hash.
     """
-    own = F.explode(F.array(*(F.filter("pieces", lambda x, p=p: x["pass"] == p) for p in (0, 1)))).alias("own")
+    first, second = F.filter("pieces", lambda x: x["pass"] == 0), F.filter("pieces", lambda x: x["pass"] == 1)
+    own = F.explode(F.array(first, second)).alias("own")
     copies = draw(documents, shards, seed=seed, carry=True).where(F.size("pieces") > 0).select("size", "key", "doc", own).where(F.size("own") > 0)
     copies = copies.select("doc", "size", "key", F.element_at("own", 1)["from_word"].alias("lo"), F.element_at("own", -1)["to_word"].alias("hi"), F.element_at("own", 1)["shard"].alias("shard"), F.element_at("own", 1)["pass"].alias("pass"))
     part = F.array_join(F.slice(words(F.col("doc")["text"]), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ")
