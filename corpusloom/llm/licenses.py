@@ -51,7 +51,10 @@ def shingles(w: Column) -> Column:
 
 
 def minhashes(grams: Column) -> Column:
-    return F.array(*(F.array_min(F.transform(grams, lambda g, b=b: F.xxhash64(F.lit(b), g))) for b in range(BANDS)))
+    def least(band: int) -> Column:
+        return F.array_min(F.transform(grams, lambda g: F.xxhash64(F.lit(band), g)))
+
+    return F.array(*map(least, range(BANDS)))
 
 
 def template_table(spark, templates: dict[str, str]) -> DataFrame:
