@@ -19,6 +19,7 @@ enters a score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents of each label in the sample that is fitted; tokens of one document that the field is fitted on.
-FIT_PER_CLASS, FIT_TOKENS = 2_000, 2_000
+FIT_PER_CLASS, FIT_TOKENS = 2_000, 600
 PREFIXES = (3, 4, 5)
 #: Evidence needed by a stem: toxic documents in each half, and odds against clean documents.
 LEAST_DOCS, LEAST_ODDS = 4, 20.0
@@ -64,18 +65,24 @@ def pick_stems(docs: list[list[str]], toxic: np.ndarray) -> dict:
     counts = [[Counter(), Counter()], [Counter(), Counter()]]
     size = np.zeros((2, 2))
     for k, (words, y) in enumerate(zip(docs, toxic)):
-        counts[k % 2][int(y)].update({s for w in set(words) for s in stems(w)})
         size[k % 2][int(y)] += 1
+        if y:
+            counts[k % 2][1].update({s for w in set(words) for s in stems(w)})
+    # Of clean documents only the stems that may be picked are counted.
+    may = {s for s, n in counts[0][1].items() if n >= LEAST_DOCS and counts[1][1][s] >= LEAST_DOCS}
+    for k, (words, y) in enumerate(zip(docs, toxic)):
+        if not y:
+            counts[k % 2][0].update({s for w in set(words) for s in stems(w)} & may)
     commonest: Counter = Counter()
-    for words, n in ((w, counts[0][1][w] + counts[1][1][w]) for w in {w for k, words in enumerate(docs) if toxic[k] for w in words}):
-        for s in stems(words)[1:]:
-            commonest[s] = max(commonest[s], n)
+    for word in {w for words, y in zip(docs, toxic) if y for w in words}:
+        for s in stems(word)[1:]:
+            if s in may:
+                commonest[s] = max(commonest[s], counts[0][1][word] + counts[1][1][word])
     found = {}
-    for s, n in counts[0][1].items():
+    for s in sorted(may):
+        n = counts[0][1][s]
         if commonest[s] > MOST_ONE_WORD * (n + counts[1][1][s]):
             continue
-        if n < LEAST_DOCS or counts[1][1][s] < LEAST_DOCS:
-            continue
         odds = min((counts[h][1][s] + 0.5) / (size[h][1] + 1) / ((counts[h][0][s] + 0.5) / (size[h][0] + 1)) for h in (0, 1))
         if odds >= LEAST_ODDS:
             found[s] = 1 + int(np.clip(np.log(odds / LEAST_ODDS) / np.log(3), 0, 3))
@@ -87,12 +94,14 @@ def pass_over(model: Model, classes: np.ndarray, gaps: np.ndarray, tail: int) ->
     n = len(classes)
     t = np.exp(model.transition)
     plain = t * np.exp(model.emission[0])[None, :]  # one step into a token without evidence
+    # Over the larger eigenvalue, so that no power of the matrix vanishes
+    spread = math.sqrt((plain[0, 0] - plain[1, 1]) ** 2 + 4 * plain[0, 1] * plain[1, 0])
+    plain = plain / ((plain[0, 0] + plain[1, 1] + spread) / 2)
     powers = {}
 
     def power(g: int) -> np.ndarray:
         if g not in powers:
-            m = np.linalg.matrix_power(plain / plain.sum(), g)
-            powers[g] = m / max(m.sum(), 1e-300)
+            powers[g] = np.linalg.matrix_power(plain, g)
         return powers[g]
 
     emit = np.exp(model.emission[classes])
@@ -197,7 +206,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     model = Model(prior=float(share))
     if not len(toxic) or toxic.all() or not toxic.any():
         return model
-    docs = [_TOKEN.findall((t or "").lower()) for t in texts]
+    pool: dict[str, str] = {}  # one object for each distinct word
+    docs = [[pool.setdefault(w, w) for w in _TOKEN.findall((t or "").lower())] for t in texts]
     model.evidence = pick_stems(docs, toxic)
     cache: dict = {}
     sequences, truth = [], []

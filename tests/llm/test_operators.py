@@ -161,6 +161,8 @@ def test_field_marginals():
         p[np.arange(7), z] += w
     want = (p / p.sum(axis=1, keepdims=True))[[2, 4, 5], 1]
     assert toxicity.pass_over(m, np.array([1, 2, 1]), np.array([2, 1, 0]), 1) == pytest.approx(want)
+    far = toxicity.pass_over(m, np.array([1, 2]), np.array([10_000, 100_000]), 50_000)
+    assert np.isfinite(far).all()
 
 
 # op6
