@@ -86,10 +86,10 @@ def registers(h: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(-np.log1p(-u) / RATE) / np.log(BASE)), 0, 65535).astype(np.uint16)
 
 
-def log_ratios(a: np.ndarray, b: np.ndarray, na: int, nb: np.ndarray, least: float) -> np.ndarray:
-    """How much likelier (in logarithms) the registers are under some resemblance below ``least`` than at it."""
+def log_ratios(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """For pairs of rows: how much likelier (in logarithms) the registers are under a resemblance below ``least`` than at it."""
     up, down = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    same = a.shape[-1] - up - down
+    same = a.shape[1] - up - down
     u, v = na / (na + nb), nb / (na + nb)
 
     def likelihood(j):
@@ -172,13 +172,17 @@ def possible(percent: int):
         if comp.max(initial=0) > 0:
             sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), REGISTERS)
             n = rows["n"].to_numpy()
-            for i in range(len(rows) - 1):
-                others = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
-                if len(others):
-                    others = others[log_ratios(sketch[i][None], sketch[others], int(n[i]), n[others], percent / 100) <= LEAST_LOG_RATIO]
-                if len(others):
-                    keep[i] = True
-                    keep[others] = True
+            step = max(1, 20_000 // len(rows))  # so many rows against all at once
+            for a in range(0, len(rows), step):
+                i, j = np.nonzero((comp[a : a + step, None] != comp) & (100 * np.minimum(n[a : a + step, None], n) >= percent * np.maximum(n[a : a + step, None], n)))
+                i += a
+                i, j = i[i < j], j[i < j]
+                # With under half of the registers alike the ratio is far beyond the limit; most pairs end here.
+                alike = (sketch[i] == sketch[j]).sum(axis=1) * 2 >= REGISTERS
+                i, j = i[alike], j[alike]
+                if len(i):
+                    near = log_ratios(sketch[i], sketch[j], n[i], n[j], percent / 100) <= LEAST_LOG_RATIO
+                    keep[i[near]] = keep[j[near]] = True
         return rows.loc[keep, ["group", "node", "comp"]]
 
     return run
@@ -240,7 +244,9 @@ def group(documents: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), chunks)
     pair = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: F.xxhash64("key", F.least(c, own), F.greatest(c, own)))
     members = placed.join(mixed, "key").select("node", "comp", F.explode(pair).alias("group"))
-    may = cut(members.join(classes.select("node", "n", "sketch"), "node").groupBy("group").applyInPandas(possible(percent), "group long, node binary, comp binary"))
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketched = members.join(classes.select("node", "n", "sketch"), "node").repartition(parts, "group")  # by work, not by bytes
+    may = cut(sketched.groupBy("group").applyInPandas(possible(percent), "group long, node binary, comp binary"))
     more = may.join(sets, "node").groupBy("group").applyInPandas(linked(percent), "a binary, b binary")
     labels = components(edges.unionByName(more))
 
