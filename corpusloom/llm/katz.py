@@ -45,12 +45,11 @@ _COUNTED = _SENT + ", tokens long, types long, n1 long, n2 long, n3 long, n4 lon
 _SCORED = "block long, kind int, part int, doc_id long, n_tokens long, n_known long, base double, score double, payload binary"
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+def fingerprints(words: list[bytes]) -> np.ndarray:
+    """64-bit fingerprints of words, all at once."""
+    items = np.empty(len(words), object)
+    items[:] = words
+    return pd.util.hash_array(items, categorize=False)
 
 
 def pack(values: np.ndarray, rising: bool = False) -> bytes:
@@ -86,10 +85,10 @@ def held_out(doc_id) -> bool:
 class Block:
     """Documents of one block: ``flat`` holds start, words, end of each, as fingerprints."""
 
-    def __init__(self, ids: list, texts: list[np.ndarray]):
+    def __init__(self, ids: list, lens: list[int], words: list[bytes]):
         self.ids = ids
-        self.lens = np.array([len(t) for t in texts], np.int64)
-        self.flat = np.concatenate(texts)
+        self.lens = np.array(lens, np.int64)
+        self.flat = fingerprints(words)
         self.train = np.array([not held_out(i) for i in ids])
         digest = hashlib.blake2b(repr(ids).encode() + self.flat.tobytes(), digest_size=8)
         self.name = int.from_bytes(digest.digest(), "little", signed=True)
@@ -118,21 +117,20 @@ def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
-    known, ids, texts, n = _Words(), [], [], 0
+    ids, lens, words = [], [], []
     for batch in batches:
         for i, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
-            words = text.encode().lower().split() if isinstance(text, str) else []
-            if len(known) > 400_000:
-                known.clear()
-            words = [START, *words, END]
-            texts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            own = text.encode().lower().split() if isinstance(text, str) else []
+            words.append(START)
+            words += own
+            words.append(END)
+            lens.append(len(own) + 2)
             ids.append(None if i is None else int(i))
-            n += len(words)
-            if n >= BLOCK_TOKENS:
-                yield Block(ids, texts)
-                ids, texts, n = [], [], 0
+            if len(words) >= BLOCK_TOKENS:
+                yield Block(ids, lens, words)
+                ids, lens, words = [], [], []
     if ids:
-        yield Block(ids, texts)
+        yield Block(ids, lens, words)
 
 
 def _tables(b: Block, parts: int):
@@ -160,14 +158,12 @@ def send(parts: int, pairs: bool):
 
 def count_part(rows: pd.DataFrame) -> pd.DataFrame:
     """Counts over all blocks of the keys of one part: returned in each block's order, with key number and owner."""
-    import xxhash
-
     sent = [tuple(unpack(x, k == 0) for k, x in enumerate(unbundle(p))) for p in rows["payload"]]
     keys, where = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
     counts = np.bincount(where, np.concatenate([s[1] for s in sent]).astype(float), len(keys)).astype(np.int64)
     owner = np.zeros(len(where), bool)
     owner[np.unique(where, return_index=True)[1]] = True
-    real = counts[(keys != np.uint64(xxhash.xxh64_intdigest(START))) & (counts > 0)]
+    real = counts[(keys != fingerprints([START])[0]) & (counts > 0)]
     stats = (int(real.sum()), len(real), *(int((real == r).sum()) for r in range(1, TOP + 2)))
     out, at = [], 0
     for k, (block, part, s) in enumerate(zip(rows["block"], rows["part"], sent)):
