@@ -44,24 +44,35 @@ LEAST_LOG_RATIO = 14.0
 BROADCAST_IDS = 1_000_000
 
 
-class _Words(dict):
-    """64-bit fingerprints of words, remembered."""
+def shingle_sets(texts, width: int) -> Iterator[np.ndarray]:
+    """Of each text, the sorted distinct fingerprints of its shingles.
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def shingle_set(text: str | None, known: _Words, width: int) -> np.ndarray:
-    """Sorted distinct fingerprints of the shingles; bytes.split() and lower() treat ASCII only."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    Words are hashed for many texts at once; bytes.split() and lower() treat ASCII only.
+    """
+    words: list[bytes] = []
+    lens: list[int] = []
+
+    def flush():
+        items = np.empty(len(words), object)
+        items[:] = words
+        w, at = pd.util.hash_array(items, categorize=False), 0
+        for n in lens:
+            yield _shingles(w[at : at + n], width)
+            at += n
+
+    for text in texts:
+        own = text.encode().lower().split() if isinstance(text, str) else []
+        words += own
+        lens.append(len(own))
+        if len(words) >= 300_000:
+            yield from flush()
+            words, lens = [], []
+    yield from flush()
+
+
+def _shingles(w: np.ndarray, width: int) -> np.ndarray:
+    if not len(w):
         return np.zeros(0, np.uint64)
-    if len(known) > 400_000:
-        known.clear()
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(w) - width + 1)
     h = np.full(n, 0x9E3779B97F4A7C15 * min(len(w), width) & (2**64 - 1), np.uint64)
     for k in range(min(width, len(w))):
@@ -107,11 +118,9 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
     """doc_id, n, node (digest of the set), sketch; node and sketch are null for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Words()
         for batch in batches:
             n, node, regs = [], [], []
-            for text in batch["text"]:
-                h = shingle_set(text if isinstance(text, str) else None, known, width)
+            for h in shingle_sets(batch["text"], width):
                 n.append(len(h))
                 node.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 regs.append(registers(h).tobytes() if len(h) else None)
@@ -124,9 +133,8 @@ def full_sets(documents: DataFrame, width: int) -> DataFrame:
     """node, n and fingerprints of each document of a set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Words()
         for batch in batches:
-            sets = [h for h in (shingle_set(t if isinstance(t, str) else None, known, width) for t in batch["text"]) if len(h)]
+            sets = [h for h in shingle_sets(batch["text"], width) if len(h)]
             yield pd.DataFrame({"node": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], "shingles": [h.view(np.int64) for h in sets]})
 
     return documents.select("text").mapInPandas(run, "node binary, shingles array<long>")
