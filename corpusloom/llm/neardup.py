@@ -208,10 +208,9 @@ def linked(percent: int):
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         out = []
-        largest = np.bincount(comp).argmax()
-        for i in np.argsort(comp == largest, kind="stable"):
-            if comp[i] == np.bincount(comp).argmax():
-                continue  # each link has an end outside the largest component
+        # Fixed before any join: each link has an end outside the component that is the largest at first.
+        outside = np.flatnonzero(comp != np.bincount(comp).argmax())
+        for i in outside:
             low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
             span = high - low
             at = np.repeat(high - np.cumsum(span), span) + np.arange(span.sum())

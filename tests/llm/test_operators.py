@@ -282,6 +282,51 @@ def test_near_duplicates(spark, monkeypatch, chunk):
     assert got == sorted(py_groups(rows), key=key)
 
 
+def test_links_of_chains():
+    """Families whose components join step by step within one group, in any order of rows."""
+    import pandas as pd
+
+    def split(n, pairs):
+        parent = list(range(n))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[find(a)] = find(b)
+        return {frozenset(i for i in range(n) if find(i) == find(k)) for k in range(n)}
+
+    def check(sets, comp, percent):
+        n = len(sets)
+        joined = [(i, j) for i in range(n) for j in range(i) if comp[i] == comp[j]]
+        near = [(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+        rows = pd.DataFrame({"group": 1, "node": list(range(n)), "comp": comp, "shingles": [np.array(sorted(s)) for s in sets]})
+        got = neardup.linked(percent)(rows)
+        assert split(n, joined + list(zip(got["a"], got["b"]))) == split(n, joined + near)
+
+    # Six classes, links x1-x2, x2-x4, x3-x4, x3-x5: the largest component changes while they are joined
+    links = [(1, 2), (2, 4), (3, 4), (3, 5)]
+    sets = [set(range(1000 * i, 1000 * i + 4)) for i in range(6)]
+    for k, (a, b) in enumerate(links):
+        shared = set(range(10_000 + 100 * k, 10_000 + 100 * k + 20))
+        sets[a] |= shared
+        sets[b] |= shared
+    check(sets, list(range(6)), 28)
+    r = random.Random(5)
+    for _ in range(200):
+        sets, comp = [], []
+        for family in range(3):
+            at = 0
+            for _ in range(r.randrange(1, 9)):
+                at += r.choice((1, 3, 6, 8, 20))
+                sets.append(set(range(10_000 * family + at, 10_000 * family + at + 100)))
+                comp.append(len(comp) if r.random() < 0.7 or at == 0 or len(sets) < 2 or min(sets[-1]) - min(sets[-2]) > 6 or min(sets[-1]) < min(sets[-2]) else comp[-1])
+        order = r.sample(range(len(sets)), len(sets))
+        check([sets[i] for i in order], [comp[i] for i in order], 85)
+
+
 def test_near_duplicates_edges(spark):
     assert neardup.group(empty(spark)).count() == 0
     kept = neardup.keep_one(documents(spark), 3, 85)
