@@ -30,8 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of each label in the sample that is fitted; tokens of one document that the field is fitted on.
-FIT_PER_CLASS, FIT_TOKENS = 2_000, 600
+#: Documents of each label in the sample that is fitted, on whole texts; places that are fitted at a time (10 MB).
+FIT_PER_CLASS, FIT_ITEMS = 2_000, 200_000
 PREFIXES = (3, 4, 5)
 #: Evidence needed by a stem: toxic documents in each half, and odds against clean documents.
 LEAST_DOCS, LEAST_ODDS = 4, 20.0
@@ -89,14 +89,17 @@ def pick_stems(docs: list[list[str]], toxic: np.ndarray) -> dict:
     return found
 
 
+def scaled(plain: np.ndarray) -> np.ndarray:
+    """The matrix over its larger eigenvalue, so that none of its powers vanishes."""
+    spread = math.sqrt((plain[0, 0] - plain[1, 1]) ** 2 + 4 * plain[0, 1] * plain[1, 0])
+    return plain / ((plain[0, 0] + plain[1, 1] + spread) / 2)
+
+
 def pass_over(model: Model, classes: np.ndarray, gaps: np.ndarray, tail: int) -> np.ndarray:
     """P(toxic) of each token with evidence; gaps: tokens without evidence before each, tail: after the last."""
     n = len(classes)
     t = np.exp(model.transition)
-    plain = t * np.exp(model.emission[0])[None, :]  # one step into a token without evidence
-    # Over the larger eigenvalue, so that no power of the matrix vanishes
-    spread = math.sqrt((plain[0, 0] - plain[1, 1]) ** 2 + 4 * plain[0, 1] * plain[1, 0])
-    plain = plain / ((plain[0, 0] + plain[1, 1] + spread) / 2)
+    plain = scaled(t * np.exp(model.emission[0])[None, :])  # one step into a token without evidence
     powers = {}
 
     def power(g: int) -> np.ndarray:
@@ -124,49 +127,116 @@ def pass_over(model: Model, classes: np.ndarray, gaps: np.ndarray, tail: int) ->
     return p[:, 1] / p.sum(axis=1)
 
 
-def fit_field(model: Model, sequences: list[np.ndarray], truth: list[np.ndarray], steps: int = 60) -> None:
-    """Gradient ascent on the likelihood of the labelled tokens, all sequences at once, step by step in time."""
-    length = np.array([len(s) for s in sequences])
-    order = np.argsort(-length)
-    sequences, truth, length = [sequences[i] for i in order], [truth[i] for i in order], length[order]
-    most, k = int(length[0]), len(sequences)
-    x, y = np.zeros((most, k), np.int8), np.zeros((most, k), np.int8)
-    for j, (s, z) in enumerate(zip(sequences, truth)):
-        x[: len(s), j], y[: len(s), j] = s, z
-    alive = np.array([int((length > i).sum()) for i in range(most)])
-    classes = len(model.emission)
-    seen_e, seen_t, seen_s = np.zeros((classes, 2)), np.zeros((2, 2)), np.bincount(y[0], minlength=2).astype(float)
-    for i in range(most):
-        np.add.at(seen_e, (x[i, : alive[i]], y[i, : alive[i]]), 1)
-        if i:
-            np.add.at(seen_t, (y[i - 1, : alive[i]], y[i, : alive[i]]), 1)
+def compress(classes: np.ndarray, at: np.ndarray, n_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """A token sequence as its first token and its tokens with evidence: their classes, and the tokens without
+    evidence after each of them (up to the next one, or to the end)."""
+    if not len(at) or at[0] > 0:
+        classes, at = np.concatenate(([0], classes)), np.concatenate(([0], at))
+    return classes.astype(np.int8), np.diff(np.concatenate((at, [n_tokens]))) - 1
+
+
+def gap_powers(plain: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """plain ** g for each gap g, and its derivatives by the logarithm of each entry of ``plain``, by squaring."""
+    base, slope = plain, np.zeros((2, 2, 2, 2))
+    for i in (0, 1):
+        for j in (0, 1):
+            slope[i, j, i, j] = plain[i, j]
+    power, change = np.tile(np.eye(2), (len(gaps), 1, 1)), np.zeros((len(gaps), 2, 2, 2, 2))
+    for bit in range(int(gaps.max(initial=0)).bit_length()):
+        on = (gaps >> bit & 1).astype(bool)
+        change[on] = change[on] @ base + power[on][:, None, None] @ slope
+        power[on] = power[on] @ base
+        slope = slope @ base + base @ slope
+        base = base @ base
+    return power, change
+
+
+def batches_of(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of sequences, longest first, that fill at most FIT_ITEMS places (or hold one sequence)."""
+    first = 0
+    while first < len(lengths):
+        last = min(len(lengths), first + max(1, FIT_ITEMS // int(lengths[first])))
+        yield first, last
+        first = last
+
+
+def fit_field(model: Model, sequences: list[tuple[np.ndarray, np.ndarray]], toxic: list[bool], steps: int = 60) -> None:
+    """Gradient ascent on the likelihood of the labelled tokens of whole texts.
+
+    A sequence is what ``compress`` returns; tokens with evidence are toxic in toxic documents, all others are
+    clean.  Expectations over a gap come from the derivatives of the power that stands for it.
+    """
+    order = np.argsort([-len(s[0]) for s in sequences], kind="stable")
+    length = np.array([len(sequences[i][0]) for i in order])
+    k, classes = len(sequences), len(model.emission)
+    gaps, place = np.unique(np.concatenate([sequences[i][1] for i in order]), return_inverse=True)
+    ends = np.cumsum(length)
+    parts = []
+    seen_e, seen_t, seen_s = np.zeros((classes, 2)), np.zeros((2, 2)), np.zeros(2)
+    for first, last in batches_of(length):
+        own = length[first:last]
+        x, g, y = (np.zeros((int(own[0]), last - first), kind) for kind in (np.int8, np.int32, np.int8))
+        for j, i in enumerate(order[first:last]):
+            x[: own[j], j] = sequences[i][0]
+            g[: own[j], j] = place[ends[first + j] - own[j] : ends[first + j]]
+            y[: own[j], j] = (sequences[i][0] > 0) * int(toxic[i])
+        alive = np.searchsorted(-own, -np.arange(1, int(own[0]) + 1), "right")
+        live = np.arange(last - first) < alive[:, None]
+        parts.append((x, g, alive, live))
+        np.add.at(seen_e, (x[live], y[live]), 1)
+        seen_s += np.bincount(y[0], minlength=2)
+        gap = gaps[g]
+        seen_e[0, 0] += gap[live].sum()
+        seen_t[0, 0] += np.maximum(gap[live] - 1, 0).sum()
+        np.add.at(seen_t, (y[live & (gap > 0)], 0), 1)
+        then = live[1:]
+        np.add.at(seen_t, (np.where(gap > 0, 0, y)[:-1][then], y[1:][then]), 1)
     scale_e = seen_e.sum(axis=1, keepdims=True) + 10
     scale_t = seen_t.sum(axis=1, keepdims=True) + 10
     for turn in range(steps):
         rate = 0.5 / (1 + turn / 20)
         emit, t = np.exp(model.emission), np.exp(model.transition)
-        forward, backward = np.zeros((most, k, 2)), np.ones((most, k, 2))
-        a = np.exp(model.start)[None, :] * emit[x[0]]
-        forward[0] = a / a.sum(axis=1, keepdims=True)
-        for i in range(1, most):
-            m = alive[i]
-            a = (forward[i - 1, :m] @ t) * emit[x[i, :m]]
-            forward[i, :m] = a / a.sum(axis=1, keepdims=True)
-        want_e, want_t = np.zeros((classes, 2)), np.zeros((2, 2))
-        for i in range(most - 1, -1, -1):
-            m = alive[i]
-            p = forward[i, :m] * backward[i, :m]
-            p /= p.sum(axis=1, keepdims=True)
+        power, change = gap_powers(scaled(t * emit[0][None, :]), gaps)
+        want_e, want_t, want_s = np.zeros((classes, 2)), np.zeros((2, 2)), np.zeros(2)
+        for x, g, alive, live in parts:
+            most = len(x)
+            forward, backward = np.ones((*x.shape, 2)), np.ones((*x.shape, 2))
+            a = np.exp(model.start)[None, :] * emit[x[0]]
+            forward[0] = a / a.sum(axis=1, keepdims=True)
+            for i in range(1, most):
+                m = alive[i]
+                over = (forward[i - 1, :m, None, :] @ power[g[i - 1, :m]])[:, 0]
+                a = (over @ t) * emit[x[i, :m]]
+                forward[i, :m] = a / a.sum(axis=1, keepdims=True)
+            # What follows a token's gap: the next token, or nothing
+            after = np.ones((*x.shape, 2))
+            for i in range(most - 1, -1, -1):
+                m = alive[i]
+                if i + 1 < most:
+                    n = alive[i + 1]
+                    b = (emit[x[i + 1, :n]] * backward[i + 1, :n]) @ t.T
+                    after[i, :n] = b / b.sum(axis=1, keepdims=True)
+                b = (power[g[i, :m]] @ after[i, :m, :, None])[:, :, 0]
+                backward[i, :m] = b / b.sum(axis=1, keepdims=True)
+            p = forward * backward
+            p /= p.sum(axis=2, keepdims=True)
+            want_s += p[0].sum(axis=0)
             for s in (0, 1):
-                want_e[:, s] += np.bincount(x[i, :m], p[:, s], classes)
-            if i:
-                right = emit[x[i, :m]] * backward[i, :m]
-                pair = forward[i - 1, :m, :, None] * t[None] * right[:, None, :]
+                want_e[:, s] += np.bincount(x[live], p[..., s][live], classes)
+            f, r, at = forward[live], after[live], g[live]
+            for c in range(0, len(f), 50_000):
+                fc, rc, ac = f[c : c + 50_000], r[c : c + 50_000], at[c : c + 50_000]
+                whole = np.einsum("ni,nij,nj->n", fc, power[ac], rc)
+                inside = np.einsum("na,nijab,nb->nij", fc, change[ac], rc) / whole[:, None, None]
+                want_t += inside.sum(axis=0)
+                want_e[0] += inside.sum(axis=(0, 1))
+            # The step from a gap to the token after it
+            then = live[1:]
+            if then.any():
+                over = (forward[:-1][then][:, None, :] @ power[g[:-1][then]])[:, 0]
+                right = emit[x[1:][then]] * backward[1:][then]
+                pair = over[:, :, None] * t[None] * right[:, None, :]
                 want_t += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-                b = right @ t.T
-                backward[i - 1, :m] = b / b.sum(axis=1, keepdims=True)
-            else:
-                want_s = p.sum(axis=0)
         model.emission += rate * ((seen_e - want_e) / scale_e * 2 - 0.02 * model.emission)
         model.transition += rate * ((seen_t - want_t) / scale_t * 2 - 0.02 * model.transition)
         model.start += rate * ((seen_s - want_s) / k - 0.02 * model.start)
@@ -212,14 +282,11 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     cache: dict = {}
     sequences, truth = [], []
     for words, y in zip(docs, toxic):
-        words = words[:FIT_TOKENS]
         if not words:
             continue
-        classes = np.zeros(len(words), np.int8)
         at, found = evidence_of(words, model.evidence, cache)
-        classes[at] = found
-        sequences.append(classes)
-        truth.append((classes > 0).astype(np.int8) * int(y))
+        sequences.append(compress(found, at, len(words)))
+        truth.append(bool(y))
     top = 1 + max(model.evidence.values(), default=0)
     model.emission, model.start, model.transition = np.zeros((top, 2)), np.zeros(2), np.zeros((2, 2))
     if sequences:

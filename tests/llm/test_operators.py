@@ -165,6 +165,61 @@ def test_field_marginals():
     assert np.isfinite(far).all()
 
 
+def test_field_fits_whole_texts(monkeypatch):
+    """Gaps in closed form and in batches against a sum over every token, and evidence late in long texts."""
+    r = np.random.default_rng(3)
+    docs = [r.choice(3, n, p=[0.8, 0.1, 0.1]) for n in (1, 2, 5, 40, 40, 700)] + [np.zeros(n, int) for n in (1, 30)]
+    toxic = [bool(i % 2) for i in range(len(docs))]
+    steps = 5
+
+    def field():
+        return toxicity.Model(emission=np.zeros((3, 2)), start=np.zeros(2), transition=np.zeros((2, 2)))
+
+    want = field()
+    states = [(d > 0) * int(y) for d, y in zip(docs, toxic)]
+    seen_e, seen_t, seen_s = np.zeros((3, 2)), np.zeros((2, 2)), np.zeros(2)
+    for d, z in zip(docs, states):
+        np.add.at(seen_e, (d, z), 1), np.add.at(seen_t, (z[:-1], z[1:]), 1)
+        seen_s[z[0]] += 1
+    for turn in range(steps):
+        e, t = np.exp(want.emission), np.exp(want.transition)
+        want_e, want_t, want_s = np.zeros((3, 2)), np.zeros((2, 2)), np.zeros(2)
+        for d in docs:
+            f, b = np.zeros((len(d), 2)), np.ones((len(d), 2))
+            f[0] = np.exp(want.start) * e[d[0]]
+            for i in range(1, len(d)):
+                f[i] = (f[i - 1] / f[i - 1].sum()) @ t * e[d[i]]
+            for i in range(len(d) - 2, -1, -1):
+                b[i] = t @ (e[d[i + 1]] * b[i + 1])
+                b[i] /= b[i].sum()
+            p = f * b / (f * b).sum(axis=1, keepdims=True)
+            np.add.at(want_e, d, p)
+            want_s += p[0]
+            for i in range(1, len(d)):
+                q = f[i - 1][:, None] * t * (e[d[i]] * b[i])[None]
+                want_t += q / q.sum()
+        rate = 0.5 / (1 + turn / 20)
+        want.emission += rate * ((seen_e - want_e) / (seen_e.sum(axis=1, keepdims=True) + 10) * 2 - 0.02 * want.emission)
+        want.transition += rate * ((seen_t - want_t) / (seen_t.sum(axis=1, keepdims=True) + 10) * 2 - 0.02 * want.transition)
+        want.start += rate * ((seen_s - want_s) / len(docs) - 0.02 * want.start)
+    for items in (200_000, 30):
+        monkeypatch.setattr(toxicity, "FIT_ITEMS", items)
+        got = field()
+        toxicity.fit_field(got, [toxicity.compress(d[d > 0], np.flatnonzero(d), len(d)) for d in docs], toxic, steps)
+        for x, y in ((got.emission, want.emission), (got.transition, want.transition), (got.start, want.start)):
+            assert x == pytest.approx(y)
+
+
+def test_toxicity_late_in_text():
+    """Toxic passages that start after 1,000 tokens weigh in the fit."""
+    r = random.Random(6)
+    plain = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    texts = [" ".join(plain(1000) + (["vile"] * 3 if k // 2 % 2 else []) + plain(r.randrange(20))) for k in range(80)]
+    model = toxicity.fit(texts, np.array([k // 2 % 2 == 1 for k in range(80)]), 0.5)
+    assert model.evidence["vile"] and np.abs(model.emission[model.evidence["vile"]]).max() > 0.5
+    assert [s[:2] for s in toxicity.score_text(model, "some vile vile vile words", {})[1]] == [(5, 19)]
+
+
 # op6
 def py_counts(text):
     w = WORD.findall(text or "")
