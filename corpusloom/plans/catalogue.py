@@ -107,24 +107,33 @@ def fold_label(spark, d):
     return _table(spark, d, "labels").select("doc_id", F.round(scores.label_score(name, score), 9).alias("score"))
 
 
-def ensemble_mean(spark, d):
-    t = F.col("text")
-    three = scores.ensemble(scores.naturalness(t), scores.stylometry(t)["stat_score"], scores.perplexity_score(F.length(t).cast("double")))
-    return _table(spark, d, "benchmark").select("item_id", F.round(three, 9).alias("score"))
+def _ensemble_mean(table, key):
+    def run(spark, d):
+        t = F.col("text")
+        three = scores.ensemble(scores.naturalness(t), scores.stylometry(t)["stat_score"], scores.perplexity_score(F.length(t).cast("double")))
+        return _table(spark, d, table).select(key, F.round(three, 9).alias("score"))
+
+    return run
 
 
-def lexicon_replace(spark, d):
-    text = F.concat(F.lit(_PREFIX), F.col("text"))
-    return _table(spark, d, "benchmark").select("item_id", T.replace_lexicon(text, choose=T.choose_by(F.col("item_id"))).alias("result"))
+def _lexicon_replace(table, key):
+    def run(spark, d):
+        text = F.concat(F.lit(_PREFIX), F.col("text"))
+        return _table(spark, d, table).select(key, T.replace_lexicon(text, choose=T.choose_by(F.col(key))).alias("result"))
+
+    return run
 
 
 def rhythm_merge(spark, d):
     return _table(spark, d, "documents").select("doc_id", T.merge_rhythm(F.col("text")).alias("result"))
 
 
-def postprocess(spark, d):
-    text = F.concat(F.lit(_PREFIX), F.col("text"))
-    return _table(spark, d, "benchmark").select("item_id", T.postprocess(text).alias("result"))
+def _postprocess(table, key):
+    def run(spark, d):
+        text = F.concat(F.lit(_PREFIX), F.col("text"))
+        return _table(spark, d, table).select(key, T.postprocess(text).alias("result"))
+
+    return run
 
 
 def chunk_pack(spark, d):
@@ -174,6 +183,11 @@ def json_extract(spark, d):
     return _table(spark, d, "events").select("event_id", F.length(F.to_json(F.struct("event_type"))).alias("n"), F.get_json_object(F.to_json(F.struct(F.struct("event_type").alias("a"))), "$.a.event_type").alias("kind"))
 
 
+def json_extract_props(spark, d):
+    k = F.from_json("props", "k long")
+    return _table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), k["k"].alias("number"), F.length(F.to_json(k)).alias("n"))
+
+
 def lang_map(spark, d):
     return _table(spark, d, "documents").select("doc_id", T.lang_code(F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang"))).alias("code"))
 
@@ -182,13 +196,13 @@ def url_normalise(spark, d):
     return _table(spark, d, "pages").select("page_id", T.completions_url(F.col("url")).alias("url"))
 
 
-def _sql_steps(key: str | None) -> str:
+def _sql_steps(key: str | None, table: str = "benchmark", row: str = "item_id") -> str:
     """The lexicon as a chain of common tables, one per word."""
-    out = [f"t0 as (select item_id, '{_PREFIX}' || text as t from benchmark)"]
+    out = [f"t0 as (select {row}, '{_PREFIX}' || text as t from {table})"]
     for rank, (word, options) in enumerate(T.LEXICON.items()):
         pick = f"case ({key} + {rank}) % 3 " + " ".join(f"when {i} then '{o}'" for i, o in enumerate(options)) + " end" if key else f"'{options[0]}'"
         at = f"instr(lower(t), '{word}')"
-        out.append(f"t{rank + 1} as (select item_id, case when {at} > 0 then substr(t, 1, {at} - 1) || {pick} || substr(t, {at} + {len(word)}) else t end as t from t{rank})")
+        out.append(f"t{rank + 1} as (select {row}, case when {at} > 0 then substr(t, 1, {at} - 1) || {pick} || substr(t, {at} + {len(word)}) else t end as t from t{rank})")
     return ",\n".join(out)
 
 
@@ -251,12 +265,13 @@ QUERIES = {
     "stat_score": stat_score, "stat_score_by_lang": stat_score_by_lang, "stat_score_by_quality": stat_score_by_quality,
     "flag_threshold": flag_threshold, "sentence_split": sentence_split, "sentence_split_cjk": sentence_split_cjk,
     "word_count": word_count, "word_histogram": word_histogram, "naturalness": naturalness,
-    "clamp_perplexity": clamp_perplexity, "fold_label": fold_label, "ensemble_mean": ensemble_mean,
-    "lexicon_replace": lexicon_replace, "rhythm_merge": rhythm_merge, "postprocess": postprocess,
+    "clamp_perplexity": clamp_perplexity, "fold_label": fold_label, "ensemble_mean": _ensemble_mean("benchmark", "item_id"),
+    "lexicon_replace": _lexicon_replace("benchmark", "item_id"), "rhythm_merge": rhythm_merge, "postprocess": _postprocess("benchmark", "item_id"),
+    "ensemble_mean_documents": _ensemble_mean("documents", "doc_id"), "lexicon_replace_documents": _lexicon_replace("documents", "doc_id"), "postprocess_documents": _postprocess("documents", "doc_id"),
     "chunk_pack": chunk_pack, "chunk_map_join": chunk_map_join,
     "hop_chain_standard": _hop_chain("standard"), "hop_chain_advanced": _hop_chain("advanced"), "hop_chain_focus": _hop_chain("focus"),
     "multi_round": multi_round, "best_of_n": best_of_n, "feedback_loop": feedback_loop,
-    "standard_chain_trace": standard_chain_trace, "chat_messages": chat_messages, "json_extract": json_extract,
+    "standard_chain_trace": standard_chain_trace, "chat_messages": chat_messages, "json_extract": json_extract, "json_extract_props": json_extract_props,
     "lang_map": lang_map, "url_normalise": url_normalise,
 }
 
@@ -275,6 +290,10 @@ SQL = {
     "lexicon_replace": f"with {_sql_steps('item_id')} select item_id, t as result from t30",
     "rhythm_merge": f"with {_sql_rhythm('documents', 'doc_id', 'text')} select src.id as doc_id, coalesce(joined.y, src.text) as result from src left join joined using (id)",
     "postprocess": f"with {_sql_steps(None)}, {_sql_rhythm('t30', 'item_id', 't')} select src.id as item_id, coalesce(joined.y, src.text) as result from src left join joined using (id)",
+    "lexicon_replace_documents": f"with {_sql_steps('doc_id', 'documents', 'doc_id')} select doc_id, t as result from t30",
+    "postprocess_documents": f"with {_sql_steps(None, 'documents', 'doc_id')}, {_sql_rhythm('t30', 'doc_id', 't')} select src.id as doc_id, coalesce(joined.y, src.text) as result from src left join joined using (id)",
+    "ensemble_mean_documents": _STYLE + f"select doc_id, round(({_sql_natural('text')} + stat_score + greatest(0.0::double, least(1.0::double, 1 - (length(text) - 10)::double / 100))) / 3, 9) as score from (select doc_id, stat_score from scored) join documents using (doc_id)",
+    "json_extract_props": "select event_id, json_extract_string(props, '$.k') as k, cast(json_extract_string(props, '$.k') as bigint) as number, length(to_json({'k': cast(json_extract_string(props, '$.k') as bigint)})) as n from events",
     "chunk_pack": _CHUNKS,
     "chunk_map_join": f"select doc_id, case when length(any_value(text)) > 4500 then string_agg('<' || chunk || '>', ' ' order by chunk_no) else '<' || any_value(text) || '>' end as result from ({_CHUNKS.replace('1000', '4500')}) c join documents using (doc_id) group by doc_id",
     "ensemble_mean": _STYLE.replace("from documents", "from (select item_id as doc_id, '' as lang, text from benchmark)") + f"select doc_id as item_id, round(({_sql_natural('text')} + stat_score + greatest(0.0::double, least(1.0::double, 1 - (length(text) - 10)::double / 100))) / 3, 9) as score from scored join benchmark on item_id = doc_id",
