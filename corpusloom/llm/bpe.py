@@ -7,8 +7,9 @@
    that hold it.
 3. A block's codes are replaced by ids, in order of position, and each id by its bytes.
 
-A hot pre-token is one entry per block, however often it occurs.  Blocks are named by their content,
-so if a lost executor makes Spark cut blocks again, they get their names again; where the input's rows then
+A hot pre-token is one entry per block, however often it occurs.  Blocks are named by their content and place
+(partition, number in the partition), so that blocks of the same rows stay apart; if a lost executor makes Spark
+cut blocks again, they get their names again; where the input's rows then
 came in another order, a block would miss its words and the job would stop rather than give wrong ids.
 
 Defined results: null text is empty and has no tokens; repeated rows and null doc_id give rows of their own; an
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partition
 
 #: A block ends once it holds this many distinct pre-tokens (or codes, below), which bounds a task's memory.
 BLOCK_WORDS, BLOCK_CODES = 250_000, 8_000_000
@@ -106,7 +107,7 @@ def make_blocks(pattern: str, parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         findall, split = splitter(pattern)
 
-        def finish(ids, docs, words):
+        def finish(ids, docs, words, place):
             lens = np.array([len(d) for d in docs], np.int64)
             flat = np.concatenate([np.asarray(d, np.int32) for d in docs]) if docs else np.zeros(0, np.int32)
             order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
@@ -116,7 +117,7 @@ def make_blocks(pattern: str, parts: int):
             names = sorted(words, key=words.get)
             part = np.array([zlib.crc32(w.encode()) % parts for w in names], np.int64) if names else np.zeros(0, np.int64)
             digest = hashlib.blake2b(digest_size=8)
-            digest.update(repr(ids[:64]).encode() + lens.tobytes() + flat.tobytes())
+            digest.update(repr((place, ids)).encode() + lens.tobytes() + flat.tobytes())
             for w in names:
                 digest.update(w.encode() + b"\0")
             block = int.from_bytes(digest.digest(), "little", signed=True)
@@ -140,7 +141,7 @@ def make_blocks(pattern: str, parts: int):
             for i in range(0, len(rows), 64):
                 yield pd.DataFrame(rows[i : i + 64], columns=["block", "kind", "part", "ids", "counts", "payload"])
 
-        ids, docs, words, pieces, n = [], [], {}, {}, 0
+        ids, docs, words, pieces, n, own_partition, number = [], [], {}, {}, 0, partition(), 0
         for batch in batches:
             for i, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
                 codes: list[int] = []
@@ -156,10 +157,10 @@ def make_blocks(pattern: str, parts: int):
                 docs.append(np.array(codes, np.int32))
                 n += len(codes)
                 if len(words) >= BLOCK_WORDS or n >= BLOCK_CODES:
-                    yield from finish(ids, docs, words)
-                    ids, docs, words, pieces, n = [], [], {}, {}, 0
+                    yield from finish(ids, docs, words, (own_partition, number))
+                    ids, docs, words, pieces, n, number = [], [], {}, {}, 0, number + 1
         if ids:
-            yield from finish(ids, docs, words)
+            yield from finish(ids, docs, words, (own_partition, number))
 
     return run
 

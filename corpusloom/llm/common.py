@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partition() -> int:
+    """The number of the input partition that a task reads, which a repeated attempt has again; 0 outside of tasks."""
+    task = TaskContext.get()
+    return 0 if task is None else task.partitionId()
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null gives an empty array."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

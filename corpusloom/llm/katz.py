@@ -14,7 +14,8 @@ row per block and part, so that a frequent word is one entry per block:
    and returns the weights that held-out documents need;
 4. blocks score their documents: seen bigrams at once, backed-off ones when the weights are there.
 
-Blocks are cut alike in each pass and named by their content; a block that misses its counts stops the job.
+Blocks are cut alike in each pass and named by their content and place (partition, number in the partition), so
+that blocks of the same rows stay apart; a block that misses its counts stops the job.
 
 Defined results: null text is empty: its only token is the end; null doc_id is learned from and not held out;
 repeated rows count and are scored each; an empty table gives no rows; with nothing to learn from, scores are
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partition
 
 #: Tokens of a block, which bounds the memory of a task.
 BLOCK_TOKENS = 1_500_000
@@ -85,12 +86,12 @@ def held_out(doc_id) -> bool:
 class Block:
     """Documents of one block: ``flat`` holds start, words, end of each, as fingerprints."""
 
-    def __init__(self, ids: list, lens: list[int], words: list[bytes]):
+    def __init__(self, ids: list, lens: list[int], words: list[bytes], place: tuple[int, int]):
         self.ids = ids
         self.lens = np.array(lens, np.int64)
         self.flat = fingerprints(words)
         self.train = np.array([not held_out(i) for i in ids])
-        digest = hashlib.blake2b(repr(ids).encode() + self.flat.tobytes(), digest_size=8)
+        digest = hashlib.blake2b(repr((place, ids)).encode() + self.flat.tobytes(), digest_size=8)
         self.name = int.from_bytes(digest.digest(), "little", signed=True)
 
     def tokens(self):
@@ -117,7 +118,7 @@ def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
-    ids, lens, words = [], [], []
+    ids, lens, words, own_partition, number = [], [], [], partition(), 0
     for batch in batches:
         for i, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
             own = text.encode().lower().split() if isinstance(text, str) else []
@@ -127,10 +128,10 @@ def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
             lens.append(len(own) + 2)
             ids.append(None if i is None else int(i))
             if len(words) >= BLOCK_TOKENS:
-                yield Block(ids, lens, words)
-                ids, lens, words = [], [], []
+                yield Block(ids, lens, words, (own_partition, number))
+                ids, lens, words, number = [], [], [], number + 1
     if ids:
-        yield Block(ids, lens, words)
+        yield Block(ids, lens, words, (own_partition, number))
 
 
 def _tables(b: Block, parts: int):

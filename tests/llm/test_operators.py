@@ -62,6 +62,36 @@ def test_bpe(spark):
     assert bpe.encode(empty(spark), path, P.PATTERN).count() == 0
 
 
+def copies(spark, df):
+    """A table twice, each copy a partition of its own."""
+    made = spark.createDataFrame(spark.sparkContext.parallelize(df.collect() * 2, 2), df.schema)
+    assert [len(x) for x in made.rdd.glom().collect()] == [df.count()] * 2
+    return made
+
+
+def test_bpe_repeated_blocks(spark):
+    """Blocks of the same rows in the same order: in two partitions, and one after another in one."""
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    df = documents(spark)
+    want = sorted(((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode(df.coalesce(1), path, P.PATTERN, digests=True).collect()))
+    got = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode(copies(spark, df), path, P.PATTERN, digests=True).collect())
+    assert got == sorted(want * 2)
+
+
+def test_bpe_repeated_long_texts(spark, monkeypatch):
+    import public_tokenizers as P
+
+    monkeypatch.setattr(bpe, "BLOCK_CODES", 50)  # a long text fills a block alone
+    pattern = bpe.make_blocks(P.PATTERN, 2)
+    import pandas as pd
+
+    batch = pd.DataFrame({"doc_id": [7, 7], "text": ["one two three four five " * 20] * 2})
+    blocks = pd.concat(pattern(iter([batch])))
+    assert blocks.loc[blocks["kind"] == 0, "block"].nunique() == 2
+
+
 # op3
 def test_chat_round_trip(spark):
     r = random.Random(1)
@@ -421,6 +451,19 @@ def test_katz(spark, monkeypatch):
         assert sum(f(c, db) for _, c in seen) / hist[h] + alpha[h] * (1 - sum(p1(w) for w, _ in seen)) == pytest.approx(1)
 
 
+def test_katz_repeated_blocks(spark, monkeypatch):
+    """Blocks of the same rows in the same order: in two partitions, and one after another in one."""
+    df = documents(spark)
+    rows = lambda x: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in katz.score(x).collect())
+    want = rows(df.union(df).coalesce(1))
+    assert rows(copies(spark, df)) == want
+    import pandas as pd
+
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 50)  # a long text fills a block alone
+    batch = pd.DataFrame({"doc_id": [7, 7], "text": ["one two three four five " * 20] * 2})
+    assert len({b.name for b in katz.blocks(iter([batch]))}) == 2
+
+
 def test_katz_edges(spark):
     assert katz.score(empty(spark)).count() == 0
     assert katz.score(documents(spark)).count() == documents(spark).count()
