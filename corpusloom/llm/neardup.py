@@ -114,8 +114,8 @@ def log_ratios(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, lea
     return best - at
 
 
-def sketches(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, node (digest of the set), sketch; node and sketch are null for an empty set."""
+def sketches(documents: DataFrame, width: int, own: Column) -> DataFrame:
+    """doc_id, own, n, node (digest of the set), sketch; node and sketch are null for an empty set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,9 +124,9 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
                 n.append(len(h))
                 node.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 regs.append(registers(h).tobytes() if len(h) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "node": node, "sketch": regs})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "own": batch["own"], "n": n, "node": node, "sketch": regs})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, node binary, sketch binary")
+    return documents.select("doc_id", "text", own.alias("own")).mapInPandas(run, "doc_id long, own binary, n long, node binary, sketch binary")
 
 
 def full_sets(documents: DataFrame, width: int) -> DataFrame:
@@ -135,6 +135,8 @@ def full_sets(documents: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [h for h in shingle_sets(batch["text"], width) if len(h)]
+            if not sets:
+                continue  # an empty column of lists has no type
             yield pd.DataFrame({"node": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], "shingles": [h.view(np.int64) for h in sets]})
 
     return documents.select("text").mapInPandas(run, "node binary, shingles array<long>")
@@ -226,7 +228,14 @@ def linked(percent: int):
 
 def group(documents: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
-    rows = cut(sketches(documents, width))
+    out = _grouped(documents, width, percent, F.lit(None).cast("binary"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def _grouped(documents: DataFrame, width: int, percent: int, own: Column) -> DataFrame:
+    """doc_id, own, n, node, label (of the component), component_id: one row per document."""
+    rows = cut(sketches(documents, width, own))
     classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     band = lambda b: F.xxhash64(b, F.substring(F.col("sketch"), b * (2 * ROWS) + 1, F.lit(2 * ROWS)))
     spread = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
@@ -260,10 +269,8 @@ def group(documents: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     # Step 5: the least id of each component
     known = classes.select("node", "rep").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "rep")
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    ids = known.join(least, "label").select("node", "component_id")
-    out = rows.select("doc_id", "n", "node").join(ids, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    ids = known.join(least, "label").select("node", "label", "component_id")
+    return rows.select("doc_id", "own", "n", "node").join(ids, "node", "left")
 
 
 def _sets(documents: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -279,6 +286,22 @@ def _sets(documents: DataFrame, classes: DataFrame, nodes: DataFrame, width: int
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which each group keeps the one with its least id; rows that repeat that id are one."""
-    kept = group(documents, width, percent).where("kept").select("doc_id").distinct()
-    return documents.join(kept.where("doc_id is not null"), "doc_id", "left_semi").unionByName(documents.where("doc_id is null")).select(*documents.columns)
+    """One row of each group: that of its least id, and of its least digest among rows of this id or of null ids only.
+
+    Rows alike in id and text are told apart by their other columns, and one is kept.  Null ids come last.  Rows
+    without shingles are linked with nothing and all kept.
+    """
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    rows = cut(_grouped(documents, width, percent, digest))
+    texts = rows.where("node is not null").groupBy("label", "doc_id", "own").agg(F.count("*").alias("times"))
+    least = texts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own", "times")).alias("f"))
+    alone = rows.where("node is null").select("doc_id", "own", F.lit(False).alias("tied")).distinct()
+    kept = cut(least.select("f.doc_id", "f.own", (F.col("f.times") > 1).alias("tied")).unionByName(alone)).withColumnRenamed("doc_id", "id")
+    whole = documents.select(F.struct(*documents.columns).alias("document"), F.col("doc_id").alias("doc"), digest.alias("digest"))
+    met = lambda k: whole.join(k, F.col("doc").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left_semi")
+    out = met(kept.where("not tied")).select("document.*")
+    tied = kept.where("tied")
+    if not tied.isEmpty():
+        first = Window.partitionBy("doc", "digest").orderBy(F.to_json("document"))
+        out = out.unionByName(met(tied).withColumn("k", F.row_number().over(first)).where("k = 1").select("document.*"))
+    return out

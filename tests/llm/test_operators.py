@@ -419,6 +419,25 @@ def test_near_duplicates_edges(spark):
     assert 3 not in {r.doc_id for r in kept.collect()}
 
 
+def test_keep_one_row(spark):
+    """Null and repeated ids: one row of each group."""
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    a, b, c, d = map(words, "abcd")
+    rows = [
+        (1, a, "x"), (1, a, "y"), (None, a, "x"), (None, a + " more", "x"),  # a group with ids
+        (None, b, "x"), (None, b, "x"), (None, b + " more", "x"),  # null ids only
+        (2, c, "x"), (2, c + " more", "x"), (3, c, "x"), (3, d, "x"), (1, d + " more", "x"),  # one id in two groups
+        (None, None, "x"), (None, " ", "x"), (4, "", "x"), (4, "", "x"),
+    ]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, own string"))
+    assert kept.columns == ["doc_id", "text", "own"]
+    got = [tuple(r) for r in kept.collect()]
+    assert len(got) == 8 and set(got) <= set(rows)
+    of = lambda x: [r for r in got if (r[1] or "").startswith(x + "0")]
+    assert of("a") == [(1, a, "x")] and len(of("b")) == 1 and [r[0] for r in of("c")] == [2] and of("d") == [(1, d + " more", "x")]
+    assert sum(not (r[1] or "").strip() for r in got) == 4
+
+
 # op9
 def test_katz(spark, monkeypatch):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 5000)
