@@ -30,13 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partition
+from .common import cut, id_text, partition
 
 #: A block ends once it holds this many distinct pre-tokens (or codes, below), which bounds a task's memory.
 BLOCK_WORDS, BLOCK_CODES = 250_000, 8_000_000
 #: Codes in one row of a block.
 ROW_CODES = 500_000
-_BLOCK = "block long, kind int, part int, ids array<long>, counts array<int>, payload binary"
+_BLOCK = "block long, kind int, part int, ids array<string>, counts array<int>, payload binary"
 
 
 def read_ranks(path: str) -> bytes:
@@ -143,7 +143,7 @@ def make_blocks(pattern: str, parts: int):
 
         ids, docs, words, pieces, n, own_partition, number = [], [], {}, {}, 0, partition(), 0
         for batch in batches:
-            for i, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
+            for i, text in zip(batch["doc_id"], batch["text"]):
                 codes: list[int] = []
                 if isinstance(text, str) and text:
                     for k, piece in enumerate(split(text)):
@@ -153,7 +153,7 @@ def make_blocks(pattern: str, parts: int):
                             got = [words.setdefault(w, len(words)) for w in findall(key)]
                             pieces[key] = got
                         codes += got
-                ids.append(None if i is None else int(i))
+                ids.append(i)
                 docs.append(np.array(codes, np.int32))
                 n += len(codes)
                 if len(words) >= BLOCK_WORDS or n >= BLOCK_CODES:
@@ -225,16 +225,13 @@ def assemble(raw_ranks, digests: bool):
             for doc, size in zip(doc_ids, sizes):
                 size = int(size)
                 own = listed[at : at + size]
-                doc = None if doc is None or doc != doc else int(doc)
                 n = int(lens[codes[at : at + size]].sum()) if size else 0
                 if digests:
                     out.append((doc, n, hashlib.sha256(",".join([as_text[c] for c in own]).encode()).hexdigest(), hashlib.sha256(b"".join([as_bytes[c] for c in own])).hexdigest()))
                 else:
                     out.append((doc, n, [t for c in own for t in of_code[c]]))
                 at += size
-        frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("token_ids",))])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
+        return pd.DataFrame(out, columns=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("token_ids",))])
 
     return run
 
@@ -246,11 +243,12 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, digests: bool =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One exchange by block serves both branches.  A filter that names the partition is not pushed below it, so
     # that the branches share it and texts are cut into pre-tokens once.
-    blocks = documents.select("doc_id", "text").mapInPandas(make_blocks(pattern, parts), _BLOCK).repartition("block")
+    blocks = documents.select(id_text(), "text").mapInPandas(make_blocks(pattern, parts), _BLOCK).repartition("block")
     only = lambda what: F.when(F.spark_partition_id() >= 0, what)
     encoded = blocks.where(only(F.col("kind") == 1)).groupBy("part").applyInPandas(encode_words(ranks, pattern), _BLOCK)
-    out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>")
-    return blocks.where(only(F.col("kind") != 1)).groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble(ranks, digests), out)
+    out = "doc_id string, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>")
+    done = blocks.where(only(F.col("kind") != 1)).groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble(ranks, digests), out)
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def token_table(documents: DataFrame, ranks_path: str) -> DataFrame:

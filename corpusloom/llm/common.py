@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark import TaskContext
@@ -17,17 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (a local test) is a temporary folder used.
-    """
+    """Cut the lineage with a reliable checkpoint in the folder of :func:`shared_folder`."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset, a temporary folder serves a session in this one process; on a cluster that is an error, as
+    other machines don't see such a folder.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="corpusloom-")
+
+
+def id_text() -> Column:
+    """doc_id as text: a long beside a null would reach pandas as a double and lose digits above 2**53."""
+    return F.col("doc_id").cast("string").alias("doc_id")
+
+
 def partition() -> int:
     """The number of the input partition that a task reads, which a repeated attempt has again; 0 outside of tasks."""
     task = TaskContext.get()

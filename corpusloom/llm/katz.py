@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partition
+from .common import cut, id_text, partition
 
 #: Tokens of a block, which bounds the memory of a task.
 BLOCK_TOKENS = 1_500_000
@@ -43,7 +43,7 @@ END, START = b" ", b"\t"  # no word holds white space
 
 _SENT = "block long, part int, payload binary"
 _COUNTED = _SENT + ", tokens long, types long, n1 long, n2 long, n3 long, n4 long, n5 long, n6 long"
-_SCORED = "block long, kind int, part int, doc_id long, n_tokens long, n_known long, base double, score double, payload binary"
+_SCORED = "block long, kind int, part int, doc_id string, n_tokens long, n_known long, base double, score double, payload binary"
 
 
 def fingerprints(words: list[bytes]) -> np.ndarray:
@@ -80,6 +80,7 @@ def unbundle(raw: bytes) -> list[bytes]:
 
 
 def held_out(doc_id) -> bool:
+    """Of a doc_id or its text."""
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
@@ -120,13 +121,13 @@ def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
     ids, lens, words, own_partition, number = [], [], [], partition(), 0
     for batch in batches:
-        for i, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
+        for i, text in zip(batch["doc_id"], batch["text"]):
             own = text.encode().lower().split() if isinstance(text, str) else []
             words.append(START)
             words += own
             words.append(END)
             lens.append(len(own) + 2)
-            ids.append(None if i is None else int(i))
+            ids.append(i)
             if len(words) >= BLOCK_TOKENS:
                 yield Block(ids, lens, words, (own_partition, number))
                 ids, lens, words, number = [], [], [], number + 1
@@ -200,15 +201,15 @@ def documents_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = np.argsort(-np.bincount(where), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        ids = np.array([0 if i is None else i for i in b.ids], np.int64)
-        missing = np.array([i is None for i in b.ids], np.int64)
-        yield pd.DataFrame({"block": [b.name], "part": [-1], "payload": [bundle(pack(ids), pack(missing), pack(b.lens), pack(distinct[order]), pack(rank[where]))]})
+        ids = zlib.compress("\n".join(i or "" for i in b.ids).encode(), 1)
+        yield pd.DataFrame({"block": [b.name], "part": [-1], "payload": [bundle(ids, pack(b.lens), pack(distinct[order]), pack(rank[where]))]})
 
 
 def restore(payload: bytes) -> Block:
-    ids, missing, lens, keys, codes = (unpack(x, kind=np.int64) for x in unbundle(payload))
+    ids, *rest = unbundle(payload)
+    lens, keys, codes = (unpack(x, kind=np.int64) for x in rest)
     b = Block.__new__(Block)
-    b.ids, b.lens = [None if m else i for i, m in zip(ids.tolist(), missing.tolist())], lens
+    b.ids, b.lens = [i or None for i in zlib.decompress(ids).decode().split("\n")], lens
     b.flat = keys.view(np.uint64)[codes]
     b.train = np.array([not held_out(i) for i in b.ids])
     return b
@@ -274,7 +275,7 @@ def score_documents(parts: int, words_n: list[int], pairs_n: list[int]):
                 payload = bundle(pack(w_number[local]), pack(mass[local]), pack(after[local]), zlib.compress(np.packbits(need[local]).tobytes(), 1))
                 out.append((name, 5, p, None, None, None, None, None, payload))
         frame = pd.DataFrame(out, columns=["block", "kind", "part", "doc_id", "n_tokens", "n_known", "base", "score", "payload"])
-        return frame.astype({"part": "Int32", "doc_id": "Int64", "n_tokens": "Int64", "n_known": "Int64"})
+        return frame.astype({"part": "Int32", "n_tokens": "Int64", "n_known": "Int64"})
 
     return run
 
@@ -313,7 +314,7 @@ def settle(docs: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = documents.select("doc_id", "text")
+    texts = documents.select(id_text(), "text")
     count = lambda pairs: cut(texts.mapInPandas(send(parts, pairs), _SENT).groupBy("part").applyInPandas(count_part, _COUNTED))
     words, pairs = count(False), count(True)
     totals = [[int(x or 0) for x in t.agg(*(F.sum(c) for c in ("tokens", "types", *(f"n{r}" for r in range(1, 7))))).first()] for t in (words, pairs)]
@@ -321,8 +322,9 @@ def score(documents: DataFrame) -> DataFrame:
     own = texts.mapInPandas(documents_of, _SENT)
     scored = cut(own.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(score_documents(parts, *totals), _SCORED))
     weights = scored.where("kind = 5").select("block", "part", "payload").groupBy("part").applyInPandas(weigh, _SENT)
-    result = "doc_id long, n_tokens long, n_known long, base double, score double"
+    result = "doc_id string, n_tokens long, n_known long, base double, score double"
     waiting = scored.where("kind = 4 and payload is not null").groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(settle, result)
     done = scored.where("kind = 4 and payload is null").select("doc_id", "n_tokens", "n_known", "base", "score").unionByName(waiting)
+    done = done.withColumn("doc_id", F.col("doc_id").cast("long"))
     out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
     return done.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(totals[0][0]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, id_text
 
 ROWS, BANDS, BASE, RATE = 5, 30, 1.02, 20.0
 REGISTERS = ROWS * BANDS
@@ -124,9 +124,10 @@ def sketches(documents: DataFrame, width: int, own: Column) -> DataFrame:
                 n.append(len(h))
                 node.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 regs.append(registers(h).tobytes() if len(h) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "own": batch["own"], "n": n, "node": node, "sketch": regs})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "own": batch["own"], "n": n, "node": node, "sketch": regs})
 
-    return documents.select("doc_id", "text", own.alias("own")).mapInPandas(run, "doc_id long, own binary, n long, node binary, sketch binary")
+    made = documents.select(id_text(), "text", own.alias("own")).mapInPandas(run, "doc_id string, own binary, n long, node binary, sketch binary")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def full_sets(documents: DataFrame, width: int) -> DataFrame:

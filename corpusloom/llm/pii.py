@@ -22,7 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import id_text
 
 #: The kinds in the order of all outputs.
 KINDS = ("email", "ip", "card", "phone")
@@ -283,9 +287,10 @@ def find(documents: DataFrame, model: Trees | None = None) -> DataFrame:
                 more = added_spans(text, own, model) if isinstance(text, str) else []
                 base.append(spell(own))
                 every.append(spell(own + more))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "base": base, "spans": every})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "base": base, "spans": every})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, base string, spans string")
+    found = documents.select(id_text(), "text").mapInPandas(run, "doc_id string, base string, spans string")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def redact_text(text: str, model: Trees) -> str:
@@ -300,13 +305,17 @@ def redact_text(text: str, model: Trees) -> str:
 
 
 def redact(documents: DataFrame, model: Trees | None = None) -> DataFrame:
-    """``documents`` with each span of its texts replaced by the kind in brackets; overlapping spans go as one."""
+    """``documents`` with each span of its texts replaced by the kind in brackets; overlapping spans go as one.
+
+    All other columns pass through as they are, in Arrow.
+    """
     model = model or train()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.copy()
-            batch["text"] = [redact_text(t, model) if isinstance(t, str) else None for t in batch["text"]]
-            yield batch
+            at = batch.schema.names.index("text")
+            kind = batch.schema.field(at).type
+            texts = (t.as_py() for t in batch.column(at))
+            yield batch.set_column(at, batch.schema.field(at), pa.array((None if t is None else redact_text(t, model) for t in texts), kind))
 
-    return documents.mapInPandas(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)

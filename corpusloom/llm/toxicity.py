@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_text
+
 #: Documents of each label in the sample that is fitted, on whole texts; places that are fitted at a time (10 MB).
 FIT_PER_CLASS, FIT_ITEMS = 2_000, 200_000
 PREFIXES = (3, 4, 5)
@@ -256,7 +258,7 @@ def evidence_of(words: list[str], evidence: dict, cache: dict) -> tuple[np.ndarr
     for i, w in enumerate(words):
         c = cache.get(w)
         if c is None:
-            c = cache[w] = token_class(w, evidence)
+            c = cache[w] = token_class(w.lower(), evidence)
         if c:
             at.append(i)
             classes.append(c)
@@ -277,7 +279,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     if not len(toxic) or toxic.all() or not toxic.any():
         return model
     pool: dict[str, str] = {}  # one object for each distinct word
-    docs = [[pool.setdefault(w, w) for w in _TOKEN.findall((t or "").lower())] for t in texts]
+    docs = [[pool.setdefault(w, w) for w in map(str.lower, _TOKEN.findall(t or ""))] for t in texts]
     model.evidence = pick_stems(docs, toxic)
     cache: dict = {}
     sequences, truth = [], []
@@ -308,19 +310,15 @@ def score_text(model: Model, text: str | None, cache: dict) -> tuple[float, list
     """The score and the offending spans (code points, end exclusive, greatest marginal in the span)."""
     if not model.fitted:
         return model.prior, []
-    low = (text or "").lower()
-    words = _TOKEN.findall(low)
+    text = text or ""
+    words = _TOKEN.findall(text)  # lower-cased one by one, as lower-casing a text may move offsets
     at, p = marginals(model, words, cache)
     value = float(1 / (1 + np.exp(-np.clip(summary(p, len(words)) @ model.weights, -30, 30))))
     spans: list = []
     hot = {int(i): float(q) for i, q in zip(at, p) if q >= 0.5}
-    if hot and len(low) == len(text):  # lower-casing that changes lengths would move offsets
-        source = text
-    else:
-        source = low
     if hot:
         last = None
-        for i, m in enumerate(_TOKEN.finditer(source)):
+        for i, m in enumerate(_TOKEN.finditer(text)):
             if i in hot:
                 if last == i - 1:
                     spans[-1] = (spans[-1][0], m.end(), max(spans[-1][2], hot[i]))
@@ -361,6 +359,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 if len(cache) > 500_000:
                     cache.clear()
                 done.append(score_text(own, text if isinstance(text, str) else None, cache))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": [d[0] for d in done], "spans": [[{"start": a, "end": b, "marginal": q} for a, b, q in d[1]] for d in done]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [d[0] for d in done], "spans": [[{"start": a, "end": b, "marginal": q} for a, b, q in d[1]] for d in done]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>")
+    scored = documents.select(id_text(), "text").mapInPandas(run, "doc_id string, score double, spans array<struct<start:int,end:int,marginal:double>>")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))

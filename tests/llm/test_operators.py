@@ -503,3 +503,30 @@ def test_licenses(spark):
     docs = read(spark, "documents")
     found = {r.doc_id for r in licenses.scan(docs).collect() if r.licenses}
     assert found >= {r.doc_id for r in docs.where("text like '%Licensed under the Apache License, Version 2.0%'").collect()}
+
+
+# ids
+def test_large_ids_beside_nulls(spark):
+    """Ids above 2**53 in a batch with null ids come back whole; so do other columns of a redacted table."""
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    big = [2**60 + 1, 2**60 + 3, -(2**61) - 7]
+    rows = [(i, " ".join(f"w{(k + j) % 50}" for j in range(20 + k)), i) for k, i in enumerate([*big, None])] * 2
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string, other long")
+    want = sorted([*big, -1] * 2)
+    model = toxicity.Model()
+    for made in (bpe.encode(df, path, P.PATTERN), bpe.encode(df, path, P.PATTERN, digests=True), toxicity.score(df, model), pii.find(df, pii.train(200)), neardup.group(df), katz.score(df)):
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in made.select("doc_id").collect()) == want
+    out = [r.held_out for r in katz.score(df).collect()]
+    import zlib
+
+    assert sum(out) == sum(zlib.crc32(str(i).encode()) % 7 == 2 for i in big) * 2
+    back = pii.redact(df, pii.train(200)).collect()
+    assert sorted((-1 if r.other is None else r.other) for r in back) == want
+
+
+def test_toxic_offsets_of_odd_letters():
+    model = toxicity.Model(evidence={"idiot": 1}, emission=np.array([[0.0, -4.0], [0.0, 4.0]]), fitted=True)
+    text = "İİ you idiot"
+    assert [text[a:b] for a, b, _ in toxicity.score_text(model, text, {})[1]] == ["idiot"]
