@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, partition
+from .common import cut, give_back, id_text, partition
 
 #: A block ends once it holds this many distinct pre-tokens (or codes, below), which bounds a task's memory.
 BLOCK_WORDS, BLOCK_CODES = 250_000, 8_000_000
@@ -161,6 +161,8 @@ def make_blocks(pattern: str, parts: int):
                     ids, docs, words, pieces, n, number = [], [], {}, {}, 0, number + 1
         if ids:
             yield from finish(ids, docs, words, (own_partition, number))
+        ids, docs, words, pieces = [], [], {}, {}
+        give_back()
 
     return run
 
@@ -231,6 +233,9 @@ def assemble(raw_ranks, digests: bool):
                 else:
                     out.append((doc, n, [t for c in own for t in of_code[c]]))
                 at += size
+        if len(order) > 50_000:
+            of_code, as_text, as_bytes = [], [], []
+            give_back()
         return pd.DataFrame(out, columns=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("token_ids",))])
 
     return run

@@ -12,14 +12,34 @@ from pyspark.sql import functions as F
 #: Fixed value: a word is a run of characters other than these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a file of a checkpointed table whose size is known; such a table has LEAST_FILES files at least.
+FILE_ROWS, LEAST_FILES = 100_000, 8
+
+
+def give_back() -> None:
+    """Return free memory of this Python worker to the machine, as workers stay for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of :func:`shared_folder`."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder of :func:`shared_folder`.
+
+    A table of at most ``rows`` rows is written as one file per FILE_ROWS, and not one per shuffle partition.
+    """
     sc = df.sparkSession.sparkContext
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, partition
+from .common import cut, give_back, id_text, partition
 
 #: Tokens of a block, which bounds the memory of a task.
 BLOCK_TOKENS = 1_500_000
@@ -154,6 +154,7 @@ def send(parts: int, pairs: bool):
             edge = np.searchsorted(part, np.arange(parts + 1))
             rows = [(b.name, p, bundle(pack(keys[edge[p] : edge[p + 1]], True), pack(counts[edge[p] : edge[p + 1]]))) for p in range(parts) if edge[p] < edge[p + 1]]
             yield pd.DataFrame(rows, columns=["block", "part", "payload"])
+        give_back()
 
     return run
 
@@ -274,6 +275,9 @@ def score_documents(parts: int, words_n: list[int], pairs_n: list[int]):
             if len(local):
                 payload = bundle(pack(w_number[local]), pack(mass[local]), pack(after[local]), zlib.compress(np.packbits(need[local]).tobytes(), 1))
                 out.append((name, 5, p, None, None, None, None, None, payload))
+        if len(b.flat) > 100_000:
+            del b, at, doc, word, history, known, c_pair, c_history, log_seen, log_back
+            give_back()
         frame = pd.DataFrame(out, columns=["block", "kind", "part", "doc_id", "n_tokens", "n_known", "base", "score", "payload"])
         return frame.astype({"part": "Int32", "n_tokens": "Int64", "n_known": "Int64"})
 

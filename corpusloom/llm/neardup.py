@@ -10,7 +10,8 @@ power of BASE, so that sketches merge by maximum and equal registers become like
 3. Each class is compared with a few bucket centres, drawn by a hash, on full sets.  Links connect components.
 4. Buckets that still hold several components are compared in full: pairs of different components that the
    joint likelihood of their registers leaves possible are verified on full sets.  Large buckets are dealt into
-   chunks and compared chunk by chunk, so that no task holds more than 2 * CHUNK classes.
+   chunks and compared chunk by chunk, so that a group holds about 2 * CHUNK classes and 2 * CHUNK_SHINGLES
+   shingles at most.
 5. Links of both steps connect the final components by contraction to least neighbours.
 
 All pairs of a group are never made: copies share a class, and classes of one component are not compared
@@ -32,14 +33,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_text
+from .common import cut, give_back, id_text
 
 ROWS, BANDS, BASE, RATE = 5, 30, 1.02, 20.0
 REGISTERS = ROWS * BANDS
-#: Bucket centres that a class is compared with in step 3; classes of one chunk in step 4.
-CENTRES, CHUNK = 3, 2_048
+#: Bucket centres that a class is compared with in step 3; classes and shingles of one chunk in step 4.
+CENTRES, CHUNK, CHUNK_SHINGLES = 3, 2_048, 2_000_000
 #: Step 4 leaves out pairs whose registers are exp(14) times likelier under a smaller resemblance.
 LEAST_LOG_RATIO = 14.0
+#: After a group of so many shingles a worker gives its free memory back.
+BIG_GROUP = 500_000
 #: Up to this many ids (16 MB) go to all tasks when texts are read again; above it the tables are joined by id.
 BROADCAST_IDS = 1_000_000
 
@@ -125,6 +128,7 @@ def sketches(documents: DataFrame, width: int, own: Column) -> DataFrame:
                 node.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 regs.append(registers(h).tobytes() if len(h) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "own": batch["own"], "n": n, "node": node, "sketch": regs})
+        give_back()
 
     made = documents.select(id_text(), "text", own.alias("own")).mapInPandas(run, "doc_id string, own binary, n long, node binary, sketch binary")
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -139,34 +143,32 @@ def full_sets(documents: DataFrame, width: int) -> DataFrame:
             if not sets:
                 continue  # an empty column of lists has no type
             yield pd.DataFrame({"node": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], "shingles": [h.view(np.int64) for h in sets]})
+        give_back()
 
     return documents.select("text").mapInPandas(run, "node binary, shingles array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label for each node of an edge (a, b): the same label in a component, by contraction.
+def components(edges: DataFrame, most: int) -> DataFrame:
+    """node, label for each node of an edge (a, b): the same label in a component, by contraction; edges: at most ``most``.
 
-    In each round every node goes to its least neighbour, twice; edges follow and loops vanish.  Nodes are
-    digests, so their order is random and the number of rounds logarithmic.
+    In each round every node goes to its least neighbour, twice; edges follow and loops vanish.  A node's least
+    neighbour is at the other end of an edge, so the image of a component stays connected.  Nodes are digests, so
+    their order is random and the number of rounds logarithmic.
     """
-    edges = cut(edges.select("a", "b").where("a <> b").distinct())
-    labels = None
-    while True:
+    edges = edges.select("a", "b").where("a <> b").distinct()
+    edges, left = cut(edges, most), None
+    labels = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node"))
+    while left != 0:
+        left = edges.count()
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("p")))
+        parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("p"))
         twice = parent.join(parent.select(F.col("x").alias("y"), F.col("p").alias("pp")), F.col("p") == F.col("y")).select("x", F.col("pp").alias("p"))
-        twice = cut(twice)
-        if labels is None:
-            labels = twice.select(F.col("x").alias("node"), F.col("p").alias("label"))
-        else:
-            labels = labels.join(twice, F.col("label") == F.col("x"), "left").select("node", F.coalesce("p", "label").alias("label"))
-        # An edge between parents keeps a node tied to where it went; so does one from each node's parent on.
-        tied = edges.unionByName(parent.select(F.col("x").alias("a"), F.col("p").alias("b")).where("a <> b"))
-        moved = tied.join(twice.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a").join(twice.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b")
-        labels = cut(labels)
-        edges = cut(moved.where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
-        if edges.isEmpty():
-            return labels
+        twice = cut(twice, 2 * left)
+        labels = labels.join(twice, F.col("label") == F.col("x"), "left").select("node", F.coalesce("p", "label").alias("label"))
+        moved = edges.join(twice.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a").join(twice.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b")
+        edges = cut(moved.where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), left)
+        left = 0 if edges.isEmpty() else left
+    return cut(labels, 2 * most)
 
 
 def _agree(a: Column, b: Column, percent: int) -> Column:
@@ -222,6 +224,9 @@ def linked(percent: int):
                 if comp[j] != comp[i]:
                     out.append((node[i], node[j]))
                     comp[comp == comp[j]] = comp[i]
+        if len(flat) > BIG_GROUP:
+            del sets, flat, owner, order
+            give_back()
         return pd.DataFrame(out, columns=["a", "b"])
 
     return run
@@ -237,53 +242,59 @@ def group(documents: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
 def _grouped(documents: DataFrame, width: int, percent: int, own: Column) -> DataFrame:
     """doc_id, own, n, node, label (of the component), component_id: one row per document."""
     rows = cut(sketches(documents, width, own))
-    classes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = cut(classes, rows.count())
+    size = classes.count()
     band = lambda b: F.xxhash64(b, F.substring(F.col("sketch"), b * (2 * ROWS) + 1, F.lit(2 * ROWS)))
-    spread = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
+    spread = classes.select("node", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
     drawn = F.min(F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("centre")))
-    buckets = spread.groupBy("key").agg(drawn.alias("c"), F.count("*").alias("members")).where("members > 1").select("key", "members", F.col("c.centre").alias("centre"))
-    shared = cut(spread.join(buckets, "key"))
+    buckets = spread.groupBy("key").agg(drawn.alias("c"), F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
+    chunks = F.greatest(F.ceil(F.col("members") / F.lit(CHUNK)), F.ceil(F.col("total") / F.lit(CHUNK_SHINGLES)))
+    buckets = buckets.select("key", chunks.alias("chunks"), F.col("c.centre").alias("centre"))
+    shared = cut(spread.drop("n").join(buckets, "key"), BANDS * size)
 
     # Step 3: each class against the centres with which it shares most buckets
     met = shared.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("times"))
     first = Window.partitionBy("node").orderBy(F.desc("times"), "centre")
-    tries = cut(met.withColumn("k", F.row_number().over(first)).where(F.col("k") <= CENTRES).select("node", "centre"))
-    sets = _sets(documents, classes, shared.select("node").distinct(), width)
+    tries = cut(met.withColumn("k", F.row_number().over(first)).where(F.col("k") <= CENTRES).select("node", "centre"), CENTRES * size)
+    sets = _sets(documents, classes, size, shared.select("node").distinct(), width)
     left = tries.join(sets.select("node", F.col("shingles").alias("s1")), "node")
     checked = left.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("s2")), "centre")
-    edges = cut(checked.where(_agree(F.col("s1"), F.col("s2"), percent)).select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    edges = cut(checked.where(_agree(F.col("s1"), F.col("s2"), percent)).select(F.col("node").alias("a"), F.col("centre").alias("b")), CENTRES * size)
 
     # Step 4: buckets that still hold several components
-    labels = components(edges)
-    placed = shared.select("key", "node", "members").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+    labels = components(edges, CENTRES * size)
+    placed = shared.select("key", "node", "chunks").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    chunks = F.ceil(F.col("members") / F.lit(CHUNK))
-    own = F.pmod(F.xxhash64("node"), chunks)
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: F.xxhash64("key", F.least(c, own), F.greatest(c, own)))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("key", F.least(c, own), F.greatest(c, own)))
     members = placed.join(mixed, "key").select("node", "comp", F.explode(pair).alias("group"))
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketched = members.join(classes.select("node", "n", "sketch"), "node").repartition(parts, "group")  # by work, not by bytes
     may = cut(sketched.groupBy("group").applyInPandas(possible(percent), "group long, node binary, comp binary"))
     more = may.join(sets, "node").groupBy("group").applyInPandas(linked(percent), "a binary, b binary")
-    labels = components(edges.unionByName(more))
+    labels = components(edges.unionByName(more), CENTRES * size)
 
     # Step 5: the least id of each component
     known = classes.select("node", "rep").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "rep")
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     ids = known.join(least, "label").select("node", "label", "component_id")
-    return rows.select("doc_id", "own", "n", "node").join(ids, "node", "left")
+    # Rows without a set have no class; they would all meet at the null key of the join.
+    alone = rows.where("node is null").select("node", "doc_id", "own", "n", F.lit(None).cast("binary").alias("label"), F.lit(None).cast("long").alias("component_id"))
+    return rows.where("node is not null").select("doc_id", "own", "n", "node").join(ids, "node").select(alone.columns).unionByName(alone)
 
 
-def _sets(documents: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def _sets(documents: DataFrame, classes: DataFrame, size: int, nodes: DataFrame, width: int) -> DataFrame:
     """node, shingles of the given classes, from the texts of their least documents (of all documents without id)."""
-    need = cut(classes.join(nodes, "node").select("node", "rep"))
+    need = cut(classes.join(nodes, "node").select("node", "rep"), size)
     ids = need.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    if need.count() <= BROADCAST_IDS:
+    many = need.count()
+    if many <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     if not need.where("rep is null").isEmpty():
         texts = texts.unionByName(documents.select("doc_id", "text").where("doc_id is null"))
-    return cut(full_sets(texts, width).join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    return cut(full_sets(texts, width).join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), 8 * many)
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
