@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, id_text, partition
+from .common import cut, gathered, give_back, id_text, partition
 
 #: A block ends once it holds this many distinct pre-tokens (or codes, below), which bounds a task's memory.
 BLOCK_WORDS, BLOCK_CODES = 250_000, 8_000_000
@@ -248,7 +248,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, digests: bool =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One exchange by block serves both branches.  A filter that names the partition is not pushed below it, so
     # that the branches share it and texts are cut into pre-tokens once.
-    blocks = documents.select(id_text(), "text").mapInPandas(make_blocks(pattern, parts), _BLOCK).repartition("block")
+    blocks = gathered(documents).select(id_text(), "text").mapInPandas(make_blocks(pattern, parts), _BLOCK).repartition("block")
     only = lambda what: F.when(F.spark_partition_id() >= 0, what)
     encoded = blocks.where(only(F.col("kind") == 1)).groupBy("part").applyInPandas(encode_words(ranks, pattern), _BLOCK)
     out = "doc_id string, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>")

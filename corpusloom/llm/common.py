@@ -16,6 +16,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 FILE_ROWS, LEAST_FILES = 100_000, 8
 
 
+#: Bytes of input (as its files have them) that are worth a task of their own.
+TASK_BYTES = 16 << 20
+
+
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks the size of ``df`` calls for, four per core at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 1 << 30))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than its size calls for, without a shuffle: small inputs in very many files
+    would else make as many tasks, blocks and files at each step."""
+    return df.coalesce(tasks_for(df))
+
+
 def give_back() -> None:
     """Return free memory of this Python worker to the machine, as workers stay for later tasks."""
     import ctypes

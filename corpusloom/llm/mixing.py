@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let, words
+from .common import WORD, cut, gathered, let, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -104,13 +104,14 @@ def draw(documents: DataFrame, shards: int = SHARDS, blocks_per_shard: int = BLO
 
     ``pieces`` are the drawn parts of the document: pass (0 or 1), first and last word (end exclusive), shard.
     """
+    documents = gathered(documents)
     sized = cut(sizes(documents, seed))
-    per = cut(targets(sized))
+    per = cut(targets(sized), 1)
     drawn = per.withColumn("draw", F.round("target").cast("long"))
     words_drawn = drawn.agg(F.sum("draw")).first()[0] or 0
     drawn = drawn.withColumn("block", F.lit(max(1, -(-words_drawn // (shards * blocks_per_shard)))).cast("long"))
     drawn = drawn.withColumn("quota", F.ceil(F.col("draw") / F.col("block")).cast("long"))
-    drawn = cut(drawn.join(split_quotas(drawn.select("number", "quota"), shards, seed), "number", "left"))
+    drawn = cut(drawn.join(split_quotas(drawn.select("number", "quota"), shards, seed), "number", "left"), 1)
 
     ranges = max(1, -(-sized.count() // RANGE_ROWS))
     placing = lambda df: df.withColumn("range", F.floor(F.shiftrightunsigned("key", 33).cast("double") * ranges / float(1 << 31)).cast("long"))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, id_text
+from .common import cut, gathered, give_back, id_text, tasks_for
 
 ROWS, BANDS, BASE, RATE = 5, 30, 1.02, 20.0
 REGISTERS = ROWS * BANDS
@@ -241,6 +241,7 @@ def group(documents: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
 
 def _grouped(documents: DataFrame, width: int, percent: int, own: Column) -> DataFrame:
     """doc_id, own, n, node, label (of the component), component_id: one row per document."""
+    documents = gathered(documents)
     rows = cut(sketches(documents, width, own))
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes, rows.count())
@@ -269,9 +270,9 @@ def _grouped(documents: DataFrame, width: int, percent: int, own: Column) -> Dat
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("key", F.least(c, own), F.greatest(c, own)))
     members = placed.join(mixed, "key").select("node", "comp", F.explode(pair).alias("group"))
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, parts_most = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks_for(documents)
     sketched = members.join(classes.select("node", "n", "sketch"), "node").repartition(parts, "group")  # by work, not by bytes
-    may = cut(sketched.groupBy("group").applyInPandas(possible(percent), "group long, node binary, comp binary"))
+    may = cut(sketched.groupBy("group").applyInPandas(possible(percent), "group long, node binary, comp binary").coalesce(parts_most))
     more = may.join(sets, "node").groupBy("group").applyInPandas(linked(percent), "a binary, b binary")
     labels = components(edges.unionByName(more), CENTRES * size)
 
@@ -304,11 +305,11 @@ def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     without shingles are linked with nothing and all kept.
     """
     digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    rows = cut(_grouped(documents, width, percent, digest))
+    rows = cut(_grouped(documents, width, percent, digest).coalesce(tasks_for(documents)))
     texts = rows.where("node is not null").groupBy("label", "doc_id", "own").agg(F.count("*").alias("times"))
     least = texts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own", "times")).alias("f"))
     alone = rows.where("node is null").select("doc_id", "own", F.lit(False).alias("tied")).distinct()
-    kept = cut(least.select("f.doc_id", "f.own", (F.col("f.times") > 1).alias("tied")).unionByName(alone)).withColumnRenamed("doc_id", "id")
+    kept = cut(least.select("f.doc_id", "f.own", (F.col("f.times") > 1).alias("tied")).unionByName(alone).coalesce(tasks_for(documents))).withColumnRenamed("doc_id", "id")
     whole = documents.select(F.struct(*documents.columns).alias("document"), F.col("doc_id").alias("doc"), digest.alias("digest"))
     met = lambda k: whole.join(k, F.col("doc").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left_semi")
     out = met(kept.where("not tied")).select("document.*")
@@ -316,4 +317,4 @@ def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     if not tied.isEmpty():
         first = Window.partitionBy("doc", "digest").orderBy(F.to_json("document"))
         out = out.unionByName(met(tied).withColumn("k", F.row_number().over(first)).where("k = 1").select("document.*"))
-    return out
+    return out.coalesce(tasks_for(documents))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import gathered, id_text
 
 #: The kinds in the order of all outputs.
 KINDS = ("email", "ip", "card", "phone")
@@ -289,7 +289,7 @@ def find(documents: DataFrame, model: Trees | None = None) -> DataFrame:
                 every.append(spell(own + more))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "base": base, "spans": every})
 
-    found = documents.select(id_text(), "text").mapInPandas(run, "doc_id string, base string, spans string")
+    found = gathered(documents).select(id_text(), "text").mapInPandas(run, "doc_id string, base string, spans string")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -318,4 +318,4 @@ def redact(documents: DataFrame, model: Trees | None = None) -> DataFrame:
             texts = (t.as_py() for t in batch.column(at))
             yield batch.set_column(at, batch.schema.field(at), pa.array((None if t is None else redact_text(t, model) for t in texts), kind))
 
-    return documents.mapInArrow(run, documents.schema)
+    return gathered(documents).mapInArrow(run, documents.schema)

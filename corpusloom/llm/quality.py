@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, words
+from .common import cut, gathered, let, words
 
 #: Base rule and the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -123,7 +123,7 @@ def passes(levels_: Column, cutoff: Column) -> Column:
 def scored(documents: DataFrame) -> DataFrame:
     """doc_id, stratum, counts, base_failed and levels, checkpointed: some numbers for each document."""
     q = F.col("__q")
-    f = features(documents.select("doc_id", "lang", "text")).select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), "__q")
+    f = features(gathered(documents).select("doc_id", "lang", "text")).select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), "__q")
     return cut(f.select("doc_id", "stratum", "__q", base_failed(q).alias("base_failed"), levels(q).alias("levels")))
 
 
@@ -139,6 +139,6 @@ def filter_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns.  Texts don't move: features are computed again beside them."""
     chosen = cut(cutoffs(scored(documents), labels).withColumnRenamed("stratum", "__s"))
     q = F.col("__q")
-    rows = features(documents).withColumn("__stratum", F.coalesce("lang", F.lit(""))).where(~base_failed(q))
+    rows = features(gathered(documents)).withColumn("__stratum", F.coalesce("lang", F.lit(""))).where(~base_failed(q))
     rows = rows.join(chosen, F.col("__stratum") == F.col("__s"), "left")
     return rows.where(F.coalesce(passes(levels(q), F.col("cutoff")), F.lit(True))).select(*(F.col(f"`{c}`") for c in documents.columns))

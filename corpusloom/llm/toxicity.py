@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import gathered, id_text
 
 #: Documents of each label in the sample that is fitted, on whole texts; places that are fitted at a time (10 MB).
 FIT_PER_CLASS, FIT_ITEMS = 2_000, 200_000
@@ -361,5 +361,5 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 done.append(score_text(own, text if isinstance(text, str) else None, cache))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [d[0] for d in done], "spans": [[{"start": a, "end": b, "marginal": q} for a, b, q in d[1]] for d in done]})
 
-    scored = documents.select(id_text(), "text").mapInPandas(run, "doc_id string, score double, spans array<struct<start:int,end:int,marginal:double>>")
+    scored = gathered(documents).select(id_text(), "text").mapInPandas(run, "doc_id string, score double, spans array<struct<start:int,end:int,marginal:double>>")
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
