@@ -4,8 +4,9 @@ Every source is one endless-looking stream of words: its documents in an order g
 end, twice.  A mix draws the first ``target`` words of each stream, cut into equal blocks, so a source's
 exact block quota is known before any document moves.  The quotas are split among the output shards by a
 binary tree: at each node the left half of the shards receives a multivariate-hypergeometric sample of the
-node's quotas (selection sampling over the units, driven by a hash).  A shard then owns a run of each
-source's permuted blocks, disjoint from all others, and orders its own pieces by a hash.
+node's quotas (selection sampling over the units, driven by a hash).  The blocks of a source are permuted by a
+seeded hash, and a shard owns a run of the permuted blocks, disjoint from all others, and orders its own pieces
+by a hash.  Tables of sources and blocks have a row or entry per source and at most SHARDS * BLOCKS_PER_SHARD more.
 
 Defined results: null text has size 0; null source is a source of its own, ordered last; null or repeated
 doc_id are rows like any other; documents of no words are taken 0 times; an empty table gives no rows;
@@ -23,8 +24,17 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 SHARDS, BLOCKS_PER_SHARD = 64, 128
 #: Rows of a source that one window task orders: the number of hash ranges follows the number of rows.
-RANGE_ROWS = 20_000
-_A = 2_147_483_647  # a prime larger than any quota, so that it is coprime to each
+RANGE_ROWS = 4_000
+#: The plan goes to all tasks up to this many sources (its blocks are bounded anyway).
+BROADCAST_SOURCES = 100_000
+#: Bits of the digest that orders a stream.
+KEY_BITS = 60
+
+
+def _digest(*parts) -> Column:
+    """A number of KEY_BITS bits from a digest of the parts, which any engine with MD5 can compute."""
+    text = F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("-")) for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def _unit(*parts) -> Column:
@@ -36,7 +46,7 @@ def sizes(documents: DataFrame, seed: int = 7, carry: bool = False) -> DataFrame
     """doc_id, source, size and the key that orders a source's stream; with ``carry`` the whole row as ``doc``."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     row = [F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("doc")] if carry else []
-    return documents.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.length("text")).alias("key"), *row)
+    return documents.select("doc_id", "source", size.alias("size"), _digest(F.lit(seed), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))).alias("key"), *row)
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -99,6 +109,13 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     return ends.select("number", running.alias("ends"))
 
 
+def block_shards(number: Column, quota: Column, ends: Column, seed: int) -> Column:
+    """(block, shard) for each block of a source: blocks in the order of a seeded digest fill the shards in turn."""
+    blocks = F.when(quota > 0, F.sequence(F.lit(0).cast("long"), quota - 1)).otherwise(F.array().cast("array<long>"))
+    permuted = F.array_sort(F.transform(blocks, lambda b: F.struct(F.xxhash64(F.lit(seed), number, b).alias("h"), b.alias("b"))))
+    return F.transform(permuted, lambda x, place: F.struct(x["b"].alias("block"), F.size(F.filter(ends, lambda e: e <= place)).alias("shard")))
+
+
 def draw(documents: DataFrame, shards: int = SHARDS, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = 7, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, key, pieces (and doc, with ``carry``).
 
@@ -113,15 +130,22 @@ def draw(documents: DataFrame, shards: int = SHARDS, blocks_per_shard: int = BLO
     drawn = drawn.withColumn("quota", F.ceil(F.col("draw") / F.col("block")).cast("long"))
     drawn = cut(drawn.join(split_quotas(drawn.select("number", "quota"), shards, seed), "number", "left"), 1)
 
+    shards_of = drawn.select("number", F.explode(block_shards(F.col("number"), F.col("quota"), F.col("ends"), seed)).alias("x"))
+    shards_of = shards_of.groupBy("number").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["shard"]).alias("shards"))
+    # One entry per block, and so at most shards * blocks_per_shard entries and one per source
+    plan = drawn.drop("ends").join(shards_of, "number", "left").select(F.col("source").alias("s2"), "source_size", "target", "draw", "block", "shards")
+    plan = cut(plan, 1)
+
     ranges = max(1, -(-sized.count() // RANGE_ROWS))
-    placing = lambda df: df.withColumn("range", F.floor(F.shiftrightunsigned("key", 33).cast("double") * ranges / float(1 << 31)).cast("long"))
+    placing = lambda df: df.withColumn("range", F.floor(F.col("key").cast("double") * ranges / float(1 << KEY_BITS)).cast("long"))
     ranged = placing(sized)
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), before.alias("before")).join(
-        drawn.select(F.col("source").alias("s2"), "source_size", "target", "draw", "block", "quota", "ends"), F.expr("s <=> s2")).drop("s2")
+    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), before.alias("before"))
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    placed = (placing(sizes(documents, seed, carry)) if carry else ranged).withColumn("inside", inside).join(sums, F.expr("source <=> s and range = r")).withColumn("start", F.col("before") + F.col("inside"))
+    placed = (placing(sizes(documents, seed, carry)) if carry else ranged).withColumn("inside", inside).join(sums, F.expr("source <=> s and range = r")).join(plan, F.expr("source <=> s2")).withColumn("start", F.col("before") + F.col("inside"))
 
     def of_pass(p: int) -> Column:
         start = F.col("start") + p * F.col("source_size")
@@ -129,13 +153,11 @@ def draw(documents: DataFrame, shards: int = SHARDS, blocks_per_shard: int = BLO
         blocks = F.when(end > start, F.sequence(F.floor(start / F.col("block")), F.floor((end - 1) / F.col("block")))).otherwise(F.array().cast("array<long>"))
 
         def piece(b: Column) -> Column:
-            place = F.pmod(b * _A + 1, F.greatest("quota", F.lit(1)))
-            shard = F.size(F.filter("ends", lambda e: e <= place))
             return F.struct(
                 F.lit(p).alias("pass"),
                 (F.greatest(b * F.col("block"), start) - start).alias("from_word"),
                 (F.least((b + 1) * F.col("block"), end) - start).alias("to_word"),
-                shard.alias("shard"),
+                F.get("shards", b.cast("int")).alias("shard"),
             )
 
         return F.transform(blocks, piece)

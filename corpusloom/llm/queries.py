@@ -69,6 +69,27 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("pieces")).alias("taken"))
 
 
+OP4_SQL = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    cast('0x' || substr(md5('7:' || coalesce(cast(doc_id as varchar), '-') || ':' || md5(coalesce(text, ''))), 1, 15) as bigint) as key
+  from documents),
+per as (select source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) as number from d group by source),
+w as (select *, ([5.0::double, 2.0, 1.0])[cast((number - 1) % 3 + 1 as integer)] as weight, 2.0::double * source_size as cap from per),
+l as (
+  select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, number rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by cap / weight, number rows between current row and unbounded following) as own_level from w),
+one as (select arg_min(own_level, cap / weight) as level from l where cap / weight > own_level),
+t as (select source, source_size, case when level is null then cap else least(cap, weight * level) end as target from l, one),
+s as (
+  select d.doc_id, d.size, t.source_size, t.target, cast(round(t.target) as bigint) as draw,
+    coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as start
+  from d join t on d.source is not distinct from t.source)
+select doc_id, cast(size as bigint) as size, source_size, target,
+  cast(greatest(0, least(start + size, draw) - start) + greatest(0, least(start + source_size + size, draw) - start - source_size) as bigint) as taken from s
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
@@ -81,6 +102,40 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP6_SQL = r"""
+with d as (select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+grams as (select doc_id, i, array_to_string(ws[i:i + 4], ' ') as gram from (select doc_id, ws, unnest(generate_series(1, len(ws) - 4)) as i from d where len(ws) >= 5)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, gram) as c from grams) where c > 1),
+covered as (select doc_id, count(distinct i + k) as n from twice, generate_series(0, 4) as s(k) group by doc_id),
+lines as (select doc_id, count(*) as n, count(*) - count(distinct x) as dup from (select doc_id, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^\x20\x09-\x0D]') group by doc_id),
+f as (
+  select d.doc_id, stratum, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+    len(regexp_extract_all(t, '[A-Z]')) as n_capitals, len(regexp_extract_all(t, '!')) as n_exclamations,
+    coalesce(lines.n, 0) as n_lines, coalesce(lines.dup, 0) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words
+  from d left join covered using (doc_id) left join lines using (doc_id)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from f),
+lv as (
+  select doc_id, stratum, base_failed, rule, cast(least(20, case when y > 0 then floor(20 * x / y) else 0 end) as integer) as level from (
+    select doc_id, stratum, base_failed, unnest([0, 1, 2, 3, 4]) as rule, unnest([n_symbols, n_capitals, n_exclamations, n_dup_lines, n_repeat_words]) as x, unnest([n_words, word_chars, n_words, n_lines, n_words]) as y from b)),
+known as (select doc_id, min(quality) > 0 as good, substr(md5(cast(doc_id as varchar)), 1, 1) < 'a' as held from labels where quality is not null and doc_id is not null group by doc_id),
+fit as (select rule, level, good from lv join known using (doc_id) where not base_failed and not held),
+grid as (select r as rule, l as level from generate_series(0, 4) as a(r), generate_series(1, 20) as c(l)),
+hits as (select g.rule, g.level, count(*) filter (where fit.good) as g, count(*) filter (where not fit.good) as b from grid g left join fit on fit.rule = g.rule and fit.level >= g.level group by all),
+graded as (select rule, level, max(20 * b // (g + b + 1)) over (partition by rule order by level) as grade from hits),
+risks as (select lv.doc_id, any_value(stratum) as stratum, bool_or(base_failed) as base_failed, max(coalesce(grade, 0)) as risk from lv left join graded on lv.rule = graded.rule and lv.level = graded.level group by lv.doc_id),
+held as (select stratum, risk from risks join known using (doc_id) where not base_failed and held and good),
+totals as (select stratum, count(*) as n from held group by stratum),
+tests as (select t.stratum, t.n, c.c as cutoff, (select count(*) from held where held.stratum = t.stratum and held.risk >= c.c) as k from totals t, generate_series(10, 20) as c(c)),
+tails as (
+  select stratum, cutoff, case when k >= n or k > n * 0.02::double then 1.0 else list_sum(list_transform(generate_series(0, k),
+    lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02::double) + (n - j) * ln(0.98::double)))) end as tail from tests),
+chosen as (select stratum, min(cutoff) as cutoff from tails where tail <= 0.05::double / (select count(*) from totals) group by stratum)
+select b.doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+  cast(n_repeat_words as bigint) as n_repeat_words, b.base_failed, not b.base_failed and coalesce(risk < cutoff, true) as kept
+from b join risks using (doc_id) left join chosen on chosen.stratum = b.stratum
+"""
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.regexp_count("base", F.lit(rf"\b{kind}:")).cast("long").alias(f"n_{kind}")
@@ -91,6 +146,21 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+OP8_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+sets as (
+  select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as g from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) as i from d where len(ws) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as n from sets a join sets b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * shared.n >= 85 * (p.n + q.n - shared.n)),
+ways as (select x, y from links union all select y, x from links),
+reach(doc_id, goal) as (select x, x from ways union select reach.doc_id, ways.y from reach join ways on ways.x = reach.goal),
+least_of as (select doc_id, min(goal) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(sizes.n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, d.doc_id = coalesce(component_id, d.doc_id) as kept
+from d left join sizes using (doc_id) left join least_of using (doc_id)
+"""
+
+
 def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
@@ -112,4 +182,4 @@ QUERIES = {
     "op9_katz_scores": op9_katz_scores,
     "op10_license_scan": op10_license_scan,
 }
-SQL = {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL}
+SQL = {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_mix_sources": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_near_duplicates": OP8_SQL}

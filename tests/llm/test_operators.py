@@ -158,6 +158,14 @@ def test_splitting_tree(spark):
     quotas = {1: 40, 2: 7, 3: 0, 4: 53}
     got = mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "number int, quota long"), 8).collect()
     assert {r.number: r.ends[-1] for r in got} == quotas
+    for r in got:  # blocks of a run are dealt by a seeded hash: few neighbours share a shard, and each shard has its quota
+        q = spark.createDataFrame([tuple(r) + (quotas[r.number],)], "number int, ends array<long>, quota long")
+        dealt = [[x.shard for x in q.select(mixing.block_shards(F.col("number"), F.col("quota"), F.col("ends"), seed).alias("s")).first().s] for seed in (7, 8)]
+        blocks = sorted(q.select(F.explode(mixing.block_shards(F.col("number"), F.col("quota"), F.col("ends"), 7))).collect())
+        assert [b[0].block for b in blocks] == list(range(quotas[r.number]))
+        assert [dealt[0].count(s) for s in range(8)] == np.diff([0, *r.ends]).tolist() == [dealt[1].count(s) for s in range(8)]
+        order = [b[0].shard for b in blocks]
+        assert quotas[r.number] < 40 or sum(a == b for a, b in zip(order, order[1:])) < quotas[r.number] / 3
     shards = np.diff(np.array([[0, *r.ends] for r in got]), axis=1).sum(axis=0)
     assert shards.max() - shards.min() <= 1 and all(sorted(r.ends) == r.ends for r in got)
 
@@ -282,14 +290,49 @@ def test_binomial_tail(spark):
         assert df.select(quality.binomial_tail(F.col("k"), F.col("n"), p)).first()[0] == pytest.approx(want)
 
 
-def test_cutoffs_are_safe(spark):
-    r = random.Random(4)
-    rows = [(i, "en", [min(20, int(20 * (r.random() * 0.3 if good else 0.2 + r.random() * 0.8))), 0, 0, 0, 0], False, good) for i in range(4000) for good in [r.random() < 0.8]]
+def quality_rows(spark, per_stratum, seed=4):
+    """Labelled rows whose symbols tell bad from good, in strata of the given sizes."""
+    r = random.Random(seed)
+    rows, k = [], 0
+    for stratum, n in per_stratum.items():
+        for _ in range(n):
+            good = r.random() < 0.8
+            rows.append((k, stratum, [min(20, int(20 * (r.random() * 0.3 if good else 0.2 + r.random() * 0.8))), 0, 0, 0, 0], False, good))
+            k += 1
     scored = spark.createDataFrame([x[:4] for x in rows], "doc_id long, stratum string, levels array<int>, base_failed boolean")
-    labels = spark.createDataFrame([(x[0], int(x[4])) for x in rows], "doc_id long, quality int")
-    cut = quality.cutoffs(scored, labels).first()["cutoff"]
-    good = [x for x in rows if x[4]]
-    assert list(cut) == [0] and sum(x[2][0] >= cut[0] for x in good) / len(good) <= 0.01
+    return rows, scored, spark.createDataFrame([(x[0], int(x[4])) for x in rows], "doc_id long, quality int")
+
+
+def test_cutoffs_are_safe(spark):
+    rows, scored, labels = quality_rows(spark, {"en": 4000, "de": 600, "fr": 600, "xx": 60})
+    known = quality.labelled(scored, labels)
+    graded = quality.grades(known)
+    cut = {r.stratum: r.cutoff for r in quality.cutoffs(known, graded).collect()}
+    assert set(cut) == {"en", "de", "fr"}  # the smallest stratum can't be certified
+    risk = lambda x: max(graded[r][v] for r, v in enumerate(x))
+    for s, c in cut.items():
+        good, bad = ([x for x in rows if x[1] == s and x[4] == y] for y in (True, False))
+        assert sum(risk(x[2]) >= c for x in good) / len(good) <= quality.ALPHA < 0.4 < sum(risk(x[2]) >= c for x in bad) / len(bad)
+    # The least cutoff whose exact tail over held-out good rows is small enough, strata counted
+    held = {r.doc_id for r in scored.where("substring(md5(cast(doc_id as string)), 1, 1) < 'a'").collect()}
+    for s in cut:
+        own = [risk(x[2]) for x in rows if x[1] == s and x[4] and x[0] in held]
+        tail = lambda c, own=own: sum(math.exp(math.log(math.comb(len(own), j)) + j * math.log(0.02) + (len(own) - j) * math.log(0.98)) for j in range(sum(v >= c for v in own) + 1))
+        assert cut[s] == min(c for c in range(quality.LEAST_RISK, 21) if tail(c) <= quality.DELTA / 4)
+
+
+def test_repeated_labels_certify_nothing_more(spark):
+    _, scored, labels = quality_rows(spark, {"en": 300, "de": 100})
+    want = quality.cutoffs(known := quality.labelled(scored, labels), quality.grades(known)).collect()
+    for i in range(3):
+        scored, labels = scored.union(scored), labels.union(labels)
+    assert quality.cutoffs(known := quality.labelled(scored, labels), quality.grades(known)).collect() == want
+
+
+def test_clashing_columns(spark):
+    df = documents(spark).withColumn("cutoff", F.lit(1)).withColumn("risk", F.lit(2)).withColumn("stratum", F.lit("s")).withColumn("good", F.lit(True))
+    out = quality.filter_documents(df, read(spark, "labels"))
+    assert out.columns == df.columns and out.count() > 0
 
 
 # op7
