@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, sentences, words
+from .text import let, sentences, words, words_of_trimmed
 
 #: Centre and width of each signal's scale.
 SCALE = {"ttr": (0.7, 0.3), "cv": (0.5, 0.3), "hapax": (0.6, 0.3)}
@@ -32,10 +32,10 @@ def type_token_ratio(w: Column) -> Column:
 
 
 def moments(numbers: Column) -> Column:
-    """n, sum and sum of squares of an integer array."""
-    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q"))
-    step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["q"] + x.cast("long") * x).alias("q"))
-    return let(F.aggregate(numbers, zero, step), lambda m: F.struct(F.size(numbers).cast("long").alias("n"), m["s"].alias("s"), m["q"].alias("q")))
+    """n, sum and sum of squares of an integer array, in one pass."""
+    zero = F.struct(*(F.lit(0).cast("long").alias(k) for k in "nsq"))
+    step = lambda acc, x: F.struct((acc["n"] + 1).alias("n"), (acc["s"] + x).alias("s"), (acc["q"] + x.cast("long") * x).alias("q"))
+    return F.aggregate(numbers, zero, step)
 
 
 def mean(m: Column) -> Column:
@@ -52,18 +52,29 @@ def variation(m: Column) -> Column:
     return F.when(mean(m) > 0, F.sqrt(variance(m)) / mean(m)).otherwise(0.0)
 
 
-def hapax_ratio(w: Column) -> Column:
-    """Words seen once over distinct words, in any case: one fold over the sorted words, without a shuffle."""
-    zero = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("distinct"), F.lit(0).alias("once"))
+#: In sorted words, one per line: a word that stands two times or more.
+_REPEATED = r"(?<![^\n])([^\n]++)(?:\n\1(?![^\n]))++"
+
+
+def repeated_types(w: Column) -> Column:
+    """How many distinct words occur twice or more: runs of equal lines among the sorted words.
+
+    One sort and one scan by the regular-expression engine; a fold over words would build a struct for each.
+    """
+    return F.regexp_count(F.array_join(F.sort_array(w), "\n"), F.lit(_REPEATED))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        same = F.coalesce(acc["prev"] == x, F.lit(False))
-        run = F.when(same, acc["run"] + 1).otherwise(1)
-        once = F.when(same & (acc["run"] == 1), acc["once"] - 1).when(same, acc["once"]).otherwise(acc["once"] + 1)
-        return F.struct(x.alias("prev"), run.alias("run"), F.when(same, acc["distinct"]).otherwise(acc["distinct"] + 1).alias("distinct"), once.alias("once"))
+def histogram(text: Column) -> Column:
+    """word and n for each distinct word of a text, in lower case: counted inside the row, without a shuffle."""
+    runs = lambda w: F.regexp_extract_all(F.array_join(F.sort_array(w), "\n"), F.lit(_REPEATED[:-2] + "*+"), F.lit(0))
+    word = lambda x: F.substring_index(x, "\n", 1)
+    counted = lambda x: let(word(x), lambda y: F.struct(y.alias("word"), F.floor((F.length(x) + 1) / (F.length(y) + 1)).cast("long").alias("n")))
+    return F.transform(runs(words(F.lower(text))), counted)
 
-    fold = F.aggregate(F.sort_array(F.transform(w, F.lower)), zero, step)
-    return let(fold, lambda f: F.when(f["distinct"] > 0, f["once"] / f["distinct"]).otherwise(0.0))
+
+def hapax_ratio(w: Column) -> Column:
+    """Words seen once over distinct words, in any case."""
+    return let(F.transform(w, F.lower), lambda x: let(F.size(F.array_distinct(x)), lambda n: F.when(n > 0, (n - repeated_types(x)) / n).otherwise(0.0)))
 
 
 def stylometry(text: Column) -> Column:
@@ -71,24 +82,28 @@ def stylometry(text: Column) -> Column:
 
     The score is the mean of the three rescaled signals, and 0.5 for texts of under two sentences or no words.
     """
+    def of(x: Column) -> Column:
+        m, n = x["m"], x["words"]
+        ttr, hapax = x["types"] / n, F.when(x["types"] > 0, (x["types"] - x["repeated"]) / x["types"]).otherwise(0.0)
+        return F.struct(
+            m["n"].cast("int").alias("n_sentences"), n.alias("n_words"), F.when(n > 0, ttr).alias("ttr"), mean(m).alias("mean_len"),
+            variation(m).alias("cv"), hapax.alias("hapax_ratio"),
+            F.when((m["n"] < 2) | (n == 0), 0.5).otherwise(
+                (rescale(ttr, *SCALE["ttr"]) + rescale(variation(m), *SCALE["cv"]) + rescale(hapax, *SCALE["hapax"])) / 3).alias("stat_score"))
 
-    def of(pair: Column) -> Column:
-        s, w = pair["s"], pair["w"]
-        lengths = moments(F.transform(s, lambda x: F.size(words(x))))
-        return let(F.struct(type_token_ratio(w).alias("ttr"), lengths.alias("m"), hapax_ratio(w).alias("hapax")), lambda x: F.struct(
-            F.size(s).alias("n_sentences"), F.size(w).alias("n_words"), x["ttr"].alias("ttr"), mean(x["m"]).alias("mean_len"),
-            variation(x["m"]).alias("cv"), x["hapax"].alias("hapax_ratio"),
-            F.when((F.size(s) < 2) | (F.size(w) == 0), 0.5).otherwise(
-                (rescale(x["ttr"], *SCALE["ttr"]) + rescale(variation(x["m"]), *SCALE["cv"]) + rescale(x["hapax"], *SCALE["hapax"])) / 3).alias("stat_score")))
+    def counted(lengths: Column, w: Column) -> Column:
+        return F.struct(moments(lengths).alias("m"), F.size(w).alias("words"), F.size(F.array_distinct(w)).alias("types"), repeated_types(w).alias("repeated"))
 
-    return F.when(text.isNotNull(), let(F.struct(sentences(text).alias("s"), words(text).alias("w")), of))
+    # A text is split once: its words are those of its sentences.
+    pieces = F.transform(sentences(F.lower(text)), words_of_trimmed)
+    return F.when(text.isNotNull(), let(pieces, lambda p: let(F.flatten(p), lambda w: let(counted(F.transform(p, F.size), w), of))))
 
 
 def naturalness(text: Column) -> Column:
     """0.6 of the case-sensitive type-token ratio plus the variance of word lengths over 10, at most 0.4."""
-    score = lambda w: F.when(F.size(w) == 0, 0.0).otherwise(
-        0.6 * (F.size(F.array_distinct(w)) / F.size(w)) + F.least(variance(moments(F.transform(w, F.length))) / 10, F.lit(0.4)))
-    return F.when(text.isNotNull(), let(words(text), score))
+    counted = lambda w: F.struct(F.size(F.array_distinct(w)).alias("types"), moments(F.transform(w, F.length)).alias("m"))
+    score = lambda x: F.when(x["m"]["n"] == 0, 0.0).otherwise(0.6 * (x["types"] / x["m"]["n"]) + F.least(variance(x["m"]) / 10, F.lit(0.4)))
+    return F.when(text.isNotNull(), let(words(text), lambda w: let(counted(w), score)))
 
 
 def perplexity_score(perplexity: Column) -> Column:

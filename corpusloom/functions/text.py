@@ -23,13 +23,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: The characters of SPACE: white space of Unicode and the four separators.
+_WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends; only the ends are looked at."""
+    return F.btrim(text, F.lit(_WHITE))
 
 
 def words(text: Column) -> Column:
     """White-space separated words, punctuation attached."""
-    return F.filter(F.split(text, _RUN), lambda x: x != "")
+    return _pieces(text, _RUN)
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """The trimmed text split at white space: no piece is empty, so none need be filtered or trimmed."""
+    return let(strip(text), lambda t: F.when(t.isNull(), None).when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, pattern)))
+
+
+def words_of_trimmed(text: Column) -> Column:
+    """Words of a text that is trimmed and not empty, such as a sentence."""
+    return F.split(text, _RUN)
 
 
 def drop_empty(items: Column) -> Column:
@@ -38,7 +53,7 @@ def drop_empty(items: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split at white space after ``.``, ``!`` or ``?``; trimmed, empty ones dropped."""
-    return drop_empty(F.split(text, f"(?U)(?<=[.!?]){SPACE}+"))
+    return _pieces(text, f"(?U)(?<=[.!?]){SPACE}+")
 
 
 def sentences_cjk(text: Column) -> Column:
@@ -133,15 +148,14 @@ def choose_random(key: Column, seed: int) -> Choice:
 def replace_lexicon(text: Column, lexicon: Mapping[str, Sequence[str]] | None = None, choose: Choice = choose_first) -> Column:
     """For each word in order, replace its first occurrence, in any case and also inside other words.
 
-    Positions in the lower-cased text hold for the text, as lower-casing keeps lengths but for a few letters.
+    The match is made on the text itself, so letters whose lower case is longer move nothing.
     """
-    entries = [F.struct(F.lit(rank).alias("rank"), F.lit(word.lower()).alias("word"), F.array(*map(F.lit, options)).alias("options")) for rank, (word, options) in enumerate((lexicon or LEXICON).items())]
-
-    def step(t: Column, x: Column) -> Column:
-        new = lambda at: F.concat(F.substr(t, F.lit(1), at - 1), choose(x["rank"], x["options"]), F.substr(t, at + F.length(x["word"])))
-        return let(F.position(x["word"], F.lower(t)), lambda at: F.when(at > 0, new(at)).otherwise(t))
-
-    return F.aggregate(F.array(*entries), text, step)
+    for rank, (word, options) in enumerate((lexicon or LEXICON).items()):
+        chosen = choose(F.lit(rank), F.array(*map(F.lit, options)))
+        plain = F.replace(F.replace(chosen, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))  # no group references
+        quoted = word.replace("\\E", "\\E\\\\E\\Q")
+        text = F.regexp_replace(text, F.lit(rf"(?ius)\A(.*?)\Q{quoted}\E"), F.concat(F.lit("$1"), plain))
+    return text
 
 
 def merge_rhythm(text: Column, short: int = SHORT_WORDS) -> Column:
@@ -152,7 +166,7 @@ def merge_rhythm(text: Column, short: int = SHORT_WORDS) -> Column:
         return F.concat(F.regexp_replace(a, "[.!?]+$", ""), F.lit(" — "), F.lower(F.substr(b, F.lit(1), F.lit(1))), F.substr(b, F.lit(2)))
 
     def step(acc: Column, s: Column) -> Column:
-        brief = F.size(words(s)) < short
+        brief = F.size(words_of_trimmed(s)) < short
         waits = acc["wait"].isNotNull()
         flushed = F.when(waits, F.concat(acc["out"], F.array(acc["wait"]))).otherwise(acc["out"])
         joined = F.struct(F.concat(acc["out"], F.array(dash(acc["wait"], s))).alias("out"), F.lit(None).cast("string").alias("wait"))
@@ -228,5 +242,11 @@ def header_map(**headers: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
+def checked_completion(body: Column) -> Column:
+    """:func:`completion_text`; a response without one stops the job."""
+    got = completion_text(body)
+    return F.coalesce(got, F.raise_error(F.concat(F.lit("no completion in response: "), F.coalesce(body, F.lit("none")))).cast("string"))
+
+
 def whole_milliseconds(seconds: Column) -> Column:
     return (seconds * 1000).cast("long")

@@ -46,11 +46,11 @@ def resolve(config: Mapping, env: Mapping[str, str] | None = None, providers: Ma
     llm, pipeline, keys = (config.get(k, {}) for k in ("llm", "pipeline", "api_keys"))
     name = env.get("LLM_PROVIDER") or llm.get("provider") or default
     if name not in providers:
-        raise ValueError(f"Unsupported LLM provider: {name!r}. Supported: {', '.join(providers)}")
+        raise ValueError(f"Unsupported LLM provider: {name!r} is none of {sorted(providers)}")
     own = providers[name]
     key = env.get("LLM_API_KEY") or env.get(own.key_env) or keys.get(own.key_field, "")
     if not key:
-        raise ValueError(f"Missing API key for provider {name!r}: set api_keys.{own.key_field} or LLM_API_KEY")
+        raise ValueError(f"Missing API key: {name!r} needs one, in the file (api_keys, {own.key_field}) or the environment (LLM_API_KEY, {own.key_env})")
     headers = {h: llm[k] for k, h in (("http_referer", "HTTP-Referer"), ("app_title", "X-Title")) if llm.get(k)}
     return Settings(
         name, own.display_name, env.get("LLM_BASE_URL") or llm.get("base_url") or own.base_url,

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 Engine = Callable[[Column, str, str], Column]
 
 
@@ -61,3 +63,39 @@ def remote(connect: Callable[[str, str], Callable[[list], list]]) -> Engine:
         return call.asNondeterministic()(text)
 
     return engine
+
+
+def _called(connect: Callable[[], Callable[[list], list]], kind: str) -> Callable[[Column], Column]:
+    def apply(column: Column) -> Column:
+        @F.pandas_udf(kind)
+        def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            run = connect()
+            for batch in batches:
+                yield pd.Series(run(batch.tolist()), index=batch.index, dtype="float64" if kind == "double" else "object")
+
+        return call.asNondeterministic()(column)
+
+    return apply
+
+
+def scorer(connect: Callable[[], Callable[[list], list]]) -> Callable[[Column], Column]:
+    """A model as a score of texts, in Arrow batches: ``connect`` loads it once per task and gives a batch function.
+
+    Perplexities go through :func:`scores.perplexity_score`, label probabilities through :func:`scores.label_score`.
+    """
+    return _called(connect, "double")
+
+
+def chat_rewriter(post: Callable[[], Callable[[list], list]], system: str, model: str, temperature: float = 1.3, top_p: float | None = None) -> Callable[[Column, Column | None], Column]:
+    """A rewrite call: messages (with one earlier turn as history), JSON request, batch call, first choice's content.
+
+    ``post`` connects once per task and gives a function from request bodies to response bodies; a response
+    without a completion stops the job.
+    """
+    send = _called(post, "string")
+
+    def rewrite(text: Column, history: Column | None = None) -> Column:
+        messages = T.chat_messages(F.lit(system), text, history)
+        return T.checked_completion(send(T.request_json(model, messages, temperature, top_p)))
+
+    return rewrite

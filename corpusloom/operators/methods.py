@@ -6,6 +6,7 @@ chain).  Chains are unrolled while the plan is built; engines are parameters.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -119,15 +120,22 @@ def standard_chain(df: DataFrame, rewriters: Sequence[Callable] | None = None, t
 
 METHODS: dict[str, Callable[..., DataFrame]] = {
     "translation_chain": translation_chain,
-    "llm_rewriter": multi_round,
+    "llm_rewrite": multi_round,
     "detection_guided": scored_loop,
     "mixed_engine": best_of,
 }
 
 
+def timed(action: Callable[[], object]) -> tuple[object, float]:
+    """The result of an action and its wall time in seconds, for sinks that report it."""
+    began = time.perf_counter()
+    out = action()
+    return out, time.perf_counter() - began
+
+
 def run_method(df: DataFrame, method: str | None = None, config: dict | None = None, **options) -> DataFrame:
     """Dispatch by name, by default the one that ``config["general"]["default_method"]`` names; adds ``method_used``."""
     method = method or (config or {})["general"]["default_method"]
     if method not in METHODS:
-        raise ValueError(f"Unknown method: {method}. Available: {', '.join(METHODS)}")
+        raise ValueError(f"no method is named {method!r}; there are {sorted(METHODS)}")
     return METHODS[method](df, **options).withColumn("method_used", F.lit(method))

@@ -49,7 +49,7 @@ scored as (
   from style)
 """
 
-_PREFIX = "We Utilize robust methodology. We utilize it again. Furthermore, it works. "
+_PREFIX = "İİ We Utilize robust methodology. We utilize it again. Furthermore, it works. "
 
 
 def _style(spark, d) -> DataFrame:
@@ -72,7 +72,9 @@ def stat_score_by_quality(spark, d):
 
 
 def flag_threshold(spark, d):
-    return _style(spark, d).select("doc_id", F.round("stat_score", 9).alias("stat_score")).where("stat_score > 0.5")
+    # inline() keeps the filter above the score, which would else be computed in the filter and again beside it
+    score = F.round(scores.stylometry(F.col("text"))["stat_score"], 9)
+    return _table(spark, d, "documents").select("doc_id", F.inline(F.array(F.struct(score.alias("stat_score"))))).where("stat_score > 0.5")
 
 
 def sentence_split(spark, d):
@@ -89,8 +91,7 @@ def word_count(spark, d):
 
 
 def word_histogram(spark, d):
-    rows = _table(spark, d, "documents").select("doc_id", F.explode(F.transform(T.words(F.col("text")), F.lower)).alias("word"))
-    return rows.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return _table(spark, d, "documents").select("doc_id", F.inline(scores.histogram(F.col("text"))))
 
 
 def naturalness(spark, d):
@@ -152,7 +153,7 @@ def _hop_chain(tier):
 
 
 def multi_round(spark, d):
-    return methods.run_method(_table(spark, d, "benchmark"), "llm_rewriter", rounds=5).select("item_id", "result")
+    return methods.run_method(_table(spark, d, "benchmark"), "llm_rewrite", rounds=5).select("item_id", "result")
 
 
 _SIDES = {"google": engines.swap_case, "mymemory": lambda t, s, g: F.concat(t, F.lit(" "), t), "broken": engines.failing}
@@ -168,6 +169,12 @@ def feedback_loop(spark, d):
     return methods.scored_loop(_table(spark, d, "benchmark"), score, rewrite, rounds=2, first=lambda t: t).select("item_id", "result")
 
 
+def feedback_loop_default(spark, d):
+    """One round with the default steps: post-processing, naturalness, lexicon."""
+    rows = _table(spark, d, "benchmark").withColumn("text", F.concat(F.lit(_PREFIX), "text"))
+    return methods.run_method(rows, "detection_guided", rounds=1).select("item_id", "result")
+
+
 def standard_chain_trace(spark, d):
     return methods.standard_chain(_table(spark, d, "benchmark")).select("item_id", F.inline("steps"))
 
@@ -180,14 +187,57 @@ def chat_messages(spark, d):
 
 
 def json_extract(spark, d):
-    return _table(spark, d, "events").select("event_id", F.length(F.to_json(F.struct("event_type"))).alias("n"), F.get_json_object(F.to_json(F.struct(F.struct("event_type").alias("a"))), "$.a.event_type").alias("kind"))
-
-
-def json_extract_props(spark, d):
     k = F.from_json("props", "k long")
     return _table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), k["k"].alias("number"), F.length(F.to_json(k)).alias("n"))
 
 
+def segments_join(spark, d):
+    """Nested JSON lists, as a translation service answers with, flattened and joined."""
+    body = F.to_json(F.array(F.transform(T.sentences(F.col("text")), lambda x: F.array(x, F.lit("source")))))
+    return _table(spark, d, "documents").select("doc_id", T.segments_text(body).alias("result"))
+
+
+def translation_response(spark, d):
+    body = F.to_json(F.struct(F.col("text").alias("tgt_text"), F.lit(None).cast("string").alias("error_msg")))
+    return _table(spark, d, "benchmark").select("item_id", T.translation_text(body).alias("result"))
+
+
+def chat_request(spark, d):
+    messages = T.chat_messages(F.lit("Be brief."), F.col("text"))
+    return _table(spark, d, "conversations").select("conv_id", "turn", T.request_json("chat", messages, 1.3, 0.9).alias("body"))
+
+
+def _echo():
+    """An offline service: answers with the number of messages and the last one."""
+    import json
+
+    def answer(body: str) -> str:
+        messages = json.loads(body)["messages"]
+        return json.dumps({"choices": [{"message": {"content": f" {len(messages)} {messages[-1]['content']}\n"}}]})
+
+    return lambda bodies: [answer(b) for b in bodies]
+
+
+def rewrite_call(spark, d):
+    call = engines.chat_rewriter(_echo, "Be brief.", "chat")
+    once = _table(spark, d, "benchmark").select("item_id", "text", call(F.col("text")).alias("first"))
+    history = F.struct(F.col("text").alias("input"), F.col("first").alias("output"))
+    return once.select("item_id", "first", call(F.col("first"), history).alias("second"))
+
+
+def model_perplexity(spark, d):
+    """A stand-in model: the perplexity of a text is its length modulo 150."""
+    model = engines.scorer(lambda: lambda texts: [float(len(t) % 150) for t in texts])
+    return _table(spark, d, "documents").select("doc_id", F.round(scores.perplexity_score(model(F.col("text"))), 9).alias("score"))
+
+
+def response_bodies(spark, d):
+    """Result, method and milliseconds as a service returns them, from settings that have headers."""
+    headers = T.header_map(HTTP_Referer=F.col("source"), X_Title=F.lit(""))
+    body = F.to_json(F.struct(F.col("n_chars").alias("result"), T.whole_milliseconds(F.col("n_chars") / 8).alias("processing_time_ms"), headers.alias("headers")))
+    return _table(spark, d, "documents").select("doc_id", body.alias("body"))
+
+
 def lang_map(spark, d):
     return _table(spark, d, "documents").select("doc_id", T.lang_code(F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang"))).alias("code"))
 
@@ -201,11 +251,16 @@ def _sql_steps(key: str | None, table: str = "benchmark", row: str = "item_id")
     out = [f"t0 as (select {row}, '{_PREFIX}' || text as t from {table})"]
     for rank, (word, options) in enumerate(T.LEXICON.items()):
         pick = f"case ({key} + {rank}) % 3 " + " ".join(f"when {i} then '{o}'" for i, o in enumerate(options)) + " end" if key else f"'{options[0]}'"
-        at = f"instr(lower(t), '{word}')"
-        out.append(f"t{rank + 1} as (select {row}, case when {at} > 0 then substr(t, 1, {at} - 1) || {pick} || substr(t, {at} + {len(word)}) else t end as t from t{rank})")
+        out.append(f"t{rank + 1} as (select {row}, regexp_replace(t, '(?is)^(.*?){word}', '\\1' || {pick}) as t from t{rank})")
     return ",\n".join(out)
 
 
+def _sql_lexicon(x: str) -> str:
+    for word, options in T.LEXICON.items():
+        x = f"regexp_replace({x}, '(?is)^(.*?){word}', '\\1{options[0]}')"
+    return x
+
+
 def _sql_rhythm(source: str, key: str, text: str) -> str:
     """Gaps and islands: within a run of short sentences, odd ones take the next and even ones go."""
     return rf"""
@@ -271,7 +326,9 @@ QUERIES = {
     "chunk_pack": chunk_pack, "chunk_map_join": chunk_map_join,
     "hop_chain_standard": _hop_chain("standard"), "hop_chain_advanced": _hop_chain("advanced"), "hop_chain_focus": _hop_chain("focus"),
     "multi_round": multi_round, "best_of_n": best_of_n, "feedback_loop": feedback_loop,
-    "standard_chain_trace": standard_chain_trace, "chat_messages": chat_messages, "json_extract": json_extract, "json_extract_props": json_extract_props,
+    "standard_chain_trace": standard_chain_trace, "chat_messages": chat_messages, "json_extract": json_extract, "segments_join": segments_join,
+    "translation_response": translation_response, "chat_request": chat_request, "rewrite_call": rewrite_call, "model_perplexity": model_perplexity,
+    "response_bodies": response_bodies, "feedback_loop_default": feedback_loop_default,
     "lang_map": lang_map, "url_normalise": url_normalise,
 }
 
@@ -293,7 +350,7 @@ SQL = {
     "lexicon_replace_documents": f"with {_sql_steps('doc_id', 'documents', 'doc_id')} select doc_id, t as result from t30",
     "postprocess_documents": f"with {_sql_steps(None, 'documents', 'doc_id')}, {_sql_rhythm('t30', 'doc_id', 't')} select src.id as doc_id, coalesce(joined.y, src.text) as result from src left join joined using (id)",
     "ensemble_mean_documents": _STYLE + f"select doc_id, round(({_sql_natural('text')} + stat_score + greatest(0.0::double, least(1.0::double, 1 - (length(text) - 10)::double / 100))) / 3, 9) as score from (select doc_id, stat_score from scored) join documents using (doc_id)",
-    "json_extract_props": "select event_id, json_extract_string(props, '$.k') as k, cast(json_extract_string(props, '$.k') as bigint) as number, length(to_json({'k': cast(json_extract_string(props, '$.k') as bigint)})) as n from events",
+    "json_extract": "select event_id, json_extract_string(props, '$.k') as k, cast(json_extract_string(props, '$.k') as bigint) as number, length(to_json({'k': cast(json_extract_string(props, '$.k') as bigint)})) as n from events",
     "chunk_pack": _CHUNKS,
     "chunk_map_join": f"select doc_id, case when length(any_value(text)) > 4500 then string_agg('<' || chunk || '>', ' ' order by chunk_no) else '<' || any_value(text) || '>' end as result from ({_CHUNKS.replace('1000', '4500')}) c join documents using (doc_id) group by doc_id",
     "ensemble_mean": _STYLE.replace("from documents", "from (select item_id as doc_id, '' as lang, text from benchmark)") + f"select doc_id as item_id, round(({_sql_natural('text')} + stat_score + greatest(0.0::double, least(1.0::double, 1 - (length(text) - 10)::double / 100))) / 3, 9) as score from scored join benchmark on item_id = doc_id",
@@ -310,7 +367,17 @@ union all select item_id, 4, 'translator B', 'FI > EN', d, length(d) from c""",
 union all select conv_id, turn, 1, 'user', case when turn > 0 then role else text end from conversations
 union all select conv_id, turn, 2, 'assistant', text from conversations where turn > 0
 union all select conv_id, turn, 3, 'user', text from conversations where turn > 0""",
-    "json_extract": "select event_id, length(to_json({'event_type': event_type})) as n, json_extract_string(to_json({'a': {'event_type': event_type}}), '$.a.event_type') as kind from events",
+    "segments_join": f"select doc_id, array_to_string({sql_sentences('text')}, '') as result from documents",
+    "translation_response": "select item_id, text as result from benchmark",
+    "chat_request": "select conv_id, turn, cast(to_json({'model': 'chat', 'messages': [{'role': 'system', 'content': 'Be brief.'}, {'role': 'user', 'content': text}], 'temperature': 1.3::double, 'top_p': 0.9::double}) as varchar) as body from conversations",
+    "rewrite_call": r"select item_id, '2 ' || regexp_replace(text, '\s+$', '') as first, '4 2 ' || regexp_replace(text, '\s+$', '') as second from benchmark",
+    "model_perplexity": "select doc_id, round(greatest(0.0::double, least(1.0::double, 1 - (length(text) % 150 - 10)::double / 100)), 9) as score from documents",
+    "response_bodies": """select doc_id, cast(to_json({'result': n_chars, 'processing_time_ms': n_chars * 125, 'headers': {'HTTP-Referer': source}}) as varchar) as body from documents""",
+    "feedback_loop_default": f"""with {_sql_steps(None)}, {_sql_rhythm('t30', 'item_id', 't')},
+done as (select src.id as item_id, coalesce(joined.y, src.text) as t from src left join joined using (id)),
+parts as (select item_id, t, unnest({sql_sentences('t')}) as x, generate_subscripts({sql_sentences('t')}, 1) as pos from done),
+hits as (select *, {_sql_natural('x')} > 0.5 as hit from parts)
+select item_id, case when bool_or(hit) then string_agg(case when hit then {_sql_lexicon('x')} else x end, ' ' order by pos) else any_value(t) end as result from hits group by item_id""",
     "lang_map": "select doc_id, case when doc_id % 7 = 0 then 'xx' else lang end as code from documents",
     "url_normalise": r"select page_id, case when ends_with(regexp_replace(url, '/+$', ''), '/chat/completions') then regexp_replace(url, '/+$', '') else regexp_replace(url, '/+$', '') || '/chat/completions' end as url from pages",
 }

@@ -37,6 +37,12 @@ def write_named(df: DataFrame, path: str, column: str = "result", prefix: str =
     df.select(F.col(column).alias("value"), F.concat(F.lit(prefix), "file_name").alias("file_name")).write.mode("overwrite").partitionBy("file_name").text(path)
 
 
+def write_stdout(df: DataFrame, column: str = "result") -> None:
+    """Print the texts one by one; one partition at a time is on the driver."""
+    for row in df.select(column).toLocalIterator():
+        print(row[0] or "")
+
+
 def response_json(result: Column, method: Column, seconds: Column) -> Column:
     return F.to_json(F.struct(result.alias("result"), method.alias("method"), (seconds * 1000).cast("long").alias("processing_time_ms")))
 

@@ -29,4 +29,4 @@ def test_whole_documents(spark, name):
 
 def test_props_are_read(spark):
     props = {r.event_id: r.props for r in spark.read.parquet(f"{SF}/events.parquet").collect()}
-    assert {r.event_id: f'{{"k": {r.k}}}' for r in catalogue.QUERIES["json_extract_props"](spark, SF).collect()} == props
+    assert {r.event_id: f'{{"k": {r.k}}}' for r in catalogue.QUERIES["json_extract"](spark, SF).collect()} == props

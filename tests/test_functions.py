@@ -118,7 +118,7 @@ def test_translation_error(spark):
 
 def test_methods(spark):
     df = spark.createDataFrame([(1, "One two. Three four! Five."), (2, "")], "doc_id int, text string")
-    assert sorted(methods.METHODS) == ["detection_guided", "llm_rewriter", "mixed_engine", "translation_chain"]
+    assert sorted(methods.METHODS) == ["detection_guided", "llm_rewrite", "mixed_engine", "translation_chain"]
     with pytest.raises(ValueError):
         methods.run_method(df, "other")
     with pytest.raises(KeyError):
@@ -156,3 +156,47 @@ def test_config():
         config.resolve({}, {})
     with pytest.raises(ValueError):
         config.resolve({**keys, "llm": {"provider": "none"}}, {})
+
+
+def test_lexicon_matches_the_text_itself(spark):
+    one = spark.createDataFrame([("İİ utilize it",), ("İ UTILIZE\nutilize",), (None,), ("",)], "text string")
+    assert [r[0] for r in one.select(T.replace_lexicon(F.col("text"))).collect()] == ["İİ use it", "İ use\nutilize", None, ""]
+    odd = {"a.b": ("$1\\x",)}
+    assert spark.createDataFrame([("axb A.B",)], "text string").select(T.replace_lexicon(F.col("text"), odd)).first()[0] == "axb $1\\x"
+
+
+def test_engines_end_to_end(spark):
+    import json
+
+    from corpusloom.operators import engines
+
+    df = spark.range(1).select(F.lit("hello").alias("text"))
+    seen = engines.chat_rewriter(lambda: lambda bodies: [json.dumps({"choices": [{"message": {"content": b}}]}) for b in bodies], "sys", "m", 0.5)
+    body = json.loads(df.select(seen(F.col("text"), F.struct(F.lit("a").alias("input"), F.lit("b").alias("output")))).first()[0])
+    assert body == {"model": "m", "messages": [{"role": r, "content": c} for r, c in (("system", "sys"), ("user", "a"), ("assistant", "b"), ("user", "hello"))], "temperature": 0.5}
+    failing = engines.chat_rewriter(lambda: lambda bodies: ["{}" for _ in bodies], "sys", "m")
+    with pytest.raises(Exception, match="no completion"):
+        df.select(failing(F.col("text"))).collect()
+    assert df.select(engines.scorer(lambda: lambda texts: [len(t) for t in texts])(F.col("text"))).first()[0] == 5.0
+
+
+def test_config_file(tmp_path):
+    path = tmp_path / "c.toml"
+    path.write_text('[llm]\nprovider = "secondary"\n[api_keys]\nsecondary_api_key = "k"\n')
+    from corpusloom.operators import config
+
+    got = config.resolve(config.load_config(str(path)), env={})
+    assert (got.provider, got.api_key) == ("secondary", "k")
+    assert config.resolve({}, env={"SECONDARY_API_KEY": "x", "LLM_PROVIDER": "secondary"}).api_key == "x"
+    with pytest.raises(ValueError, match="Unsupported LLM provider"):
+        config.resolve({}, env={"LLM_PROVIDER": "other", "LLM_API_KEY": "x"})
+
+
+def test_stdout_and_time(spark, capsys):
+    from corpusloom.operators import methods
+    from corpusloom.sources import texts
+
+    texts.write_stdout(spark.createDataFrame([("a",), (None,)], "result string").coalesce(1))
+    assert capsys.readouterr().out == "a\n\n"
+    got, seconds = methods.timed(lambda: 7)
+    assert got == 7 and seconds >= 0
