@@ -148,14 +148,20 @@ def choose_random(key: Column, seed: int) -> Choice:
 def replace_lexicon(text: Column, lexicon: Mapping[str, Sequence[str]] | None = None, choose: Choice = choose_first) -> Column:
     """For each word in order, replace its first occurrence, in any case and also inside other words.
 
-    The match is made on the text itself, so letters whose lower case is longer move nothing.
+    The match is made on the text itself, so letters whose lower case is longer move nothing.  The folded text
+    only tells where to look: without a word in it (and a letter that folds to two) nothing can match.
     """
-    for rank, (word, options) in enumerate((lexicon or LEXICON).items()):
-        chosen = choose(F.lit(rank), F.array(*map(F.lit, options)))
-        plain = F.replace(F.replace(chosen, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))  # no group references
+    def entry(rank: int, word: str, options: Sequence[str]) -> Column:
         quoted = word.replace("\\E", "\\E\\\\E\\Q")
-        text = F.regexp_replace(text, F.lit(rf"(?ius)\A(.*?)\Q{quoted}\E"), F.concat(F.lit("$1"), plain))
-    return text
+        return F.struct(F.lit(rank).alias("rank"), F.lit(word.lower()).alias("word"), F.lit(rf"(?ius)\A(.*?)\Q{quoted}\E").alias("pattern"), F.array(*map(F.lit, options)).alias("options"))
+
+    def step(t: Column, x: Column) -> Column:
+        chosen = F.replace(F.replace(choose(x["rank"], x["options"]), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))  # no group references
+        may = F.contains(F.lower(F.upper(t)), x["word"]) | F.contains(t, F.lit("İ"))
+        return F.when(may, F.regexp_replace(t, x["pattern"], F.concat(F.lit("$1"), chosen))).otherwise(t)
+
+    entries = [entry(rank, word, options) for rank, (word, options) in enumerate((lexicon or LEXICON).items())]
+    return F.aggregate(F.array(*entries), text, step)
 
 
 def merge_rhythm(text: Column, short: int = SHORT_WORDS) -> Column:

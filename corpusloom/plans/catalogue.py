@@ -49,7 +49,13 @@ scored as (
   from style)
 """
 
-_PREFIX = "İİ We Utilize robust methodology. We utilize it again. Furthermore, it works. "
+_PREFIX = "We Utilize robust methodology. We utilize it again. Furthermore, it works. "
+
+
+def _prefix(table: str) -> str:
+    """Text that holds words of the lexicon; before short texts also letters whose lower case is longer."""
+    return _PREFIX if table == "documents" else "İİ " + _PREFIX
+
 
 
 def _style(spark, d) -> DataFrame:
@@ -119,7 +125,7 @@ def _ensemble_mean(table, key):
 
 def _lexicon_replace(table, key):
     def run(spark, d):
-        text = F.concat(F.lit(_PREFIX), F.col("text"))
+        text = F.concat(F.lit(_prefix(table)), F.col("text"))
         return _table(spark, d, table).select(key, T.replace_lexicon(text, choose=T.choose_by(F.col(key))).alias("result"))
 
     return run
@@ -131,7 +137,7 @@ def rhythm_merge(spark, d):
 
 def _postprocess(table, key):
     def run(spark, d):
-        text = F.concat(F.lit(_PREFIX), F.col("text"))
+        text = F.concat(F.lit(_prefix(table)), F.col("text"))
         return _table(spark, d, table).select(key, T.postprocess(text).alias("result"))
 
     return run
@@ -171,7 +177,7 @@ def feedback_loop(spark, d):
 
 def feedback_loop_default(spark, d):
     """One round with the default steps: post-processing, naturalness, lexicon."""
-    rows = _table(spark, d, "benchmark").withColumn("text", F.concat(F.lit(_PREFIX), "text"))
+    rows = _table(spark, d, "benchmark").withColumn("text", F.concat(F.lit(_prefix("benchmark")), "text"))
     return methods.run_method(rows, "detection_guided", rounds=1).select("item_id", "result")
 
 
@@ -248,7 +254,7 @@ def url_normalise(spark, d):
 
 def _sql_steps(key: str | None, table: str = "benchmark", row: str = "item_id") -> str:
     """The lexicon as a chain of common tables, one per word."""
-    out = [f"t0 as (select {row}, '{_PREFIX}' || text as t from {table})"]
+    out = [f"t0 as (select {row}, '{_prefix(table)}' || text as t from {table})"]
     for rank, (word, options) in enumerate(T.LEXICON.items()):
         pick = f"case ({key} + {rank}) % 3 " + " ".join(f"when {i} then '{o}'" for i, o in enumerate(options)) + " end" if key else f"'{options[0]}'"
         out.append(f"t{rank + 1} as (select {row}, regexp_replace(t, '(?is)^(.*?){word}', '\\1' || {pick}) as t from t{rank})")
