@@ -172,11 +172,11 @@ def test_engines_end_to_end(spark):
 
     df = spark.createDataFrame(spark.sparkContext.parallelize([("hello", "a", "b")]), "text string, a string, b string")
     seen = engines.chat_rewriter(lambda: lambda bodies: [json.dumps({"choices": [{"message": {"content": b}}]}) for b in bodies], "sys", "m", 0.5)
-    body = json.loads(df.select(seen(F.col("text"), F.struct(F.col("a").alias("input"), F.col("b").alias("output")))).first()[0])
+    body = json.loads(df.select(seen(F.col("text"), F.struct(F.col("a").alias("input"), F.col("b").alias("output"))).alias("x")).first()[0])
     assert body == {"model": "m", "messages": [{"role": r, "content": c} for r, c in (("system", "sys"), ("user", "a"), ("assistant", "b"), ("user", "hello"))], "temperature": 0.5}
     failing = engines.chat_rewriter(lambda: lambda bodies: ["{}" for _ in bodies], "sys", "m")
     with pytest.raises(Exception, match="no completion"):
-        df.select(failing(F.col("text"))).collect()
+        df.select(failing(F.col("text")).alias("x")).collect()
     assert df.select(engines.scorer(lambda: lambda texts: [len(t) for t in texts])(F.col("text"))).first()[0] == 5.0
 
 
