@@ -5,7 +5,8 @@
    block, so the position of each pre-token is its place in the sequence.
 2. The distinct pre-tokens of all blocks meet by hash; each is encoded once, and its ids go back to the blocks
    that hold it.
-3. A block's codes are replaced by ids, in order of position, and each id by its bytes.
+3. The distinct ids of each block are joined with the token-byte table.
+4. A block's codes are replaced by ids, in order of position, and each id by the bytes that the join gave.
 
 A hot pre-token is one entry per block, however often it occurs.  Blocks are named by their content and place
 (partition, number in the partition), so that blocks of the same rows stay apart; if a lost executor makes Spark
@@ -37,6 +38,7 @@ BLOCK_WORDS, BLOCK_CODES = 250_000, 8_000_000
 #: Codes in one row of a block.
 ROW_CODES = 500_000
 _BLOCK = "block long, kind int, part int, ids array<string>, counts array<int>, payload binary"
+_ENCODED = "block long, kind int, part int, ids array<int>, counts array<int>, payload binary"
 
 
 def read_ranks(path: str) -> bytes:
@@ -167,13 +169,14 @@ def make_blocks(pattern: str, parts: int):
     return run
 
 
-def encode_words(raw_ranks, pattern: str):
+def encode_words(raw_ranks):
     """All pre-tokens of one part: each distinct one is encoded once."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         import tiktoken
 
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=rank_table(raw_ranks.value), special_tokens={})._encode_single_piece
+        # A pattern that takes any text whole, so that a pre-token is merged as the one piece it is
+        encode = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=rank_table(raw_ranks.value), special_tokens={}).encode_ordinary
         known: dict[bytes, list[int]] = {}
         out = []
         for block, part, payload in zip(rows["block"], rows["part"], rows["payload"]):
@@ -185,21 +188,25 @@ def encode_words(raw_ranks, pattern: str):
                 word = raw[a:b]
                 got = known.get(word)
                 if got is None:
-                    got = known[word] = encode(word)
+                    got = known[word] = encode(word.decode())
                 counts[k] = len(got)
                 ids += got
             packed = pack(counts)
-            out.append((block, 1, part, None, [n], len(packed).to_bytes(4, "little") + packed + pack(np.array(ids, np.uint32))))
+            out.append((block, 1, part, np.unique(np.array(ids, np.int32)), [n], len(packed).to_bytes(4, "little") + packed + pack(np.array(ids, np.uint32))))
         return pd.DataFrame(out, columns=["block", "kind", "part", "ids", "counts", "payload"])
 
     return run
 
 
-def assemble(raw_ranks, digests: bool):
-    """One block: its codes become ids in order of position, and ids become bytes."""
+def assemble(digests: bool):
+    """One block: its codes become ids in order of position, and ids become the bytes that the join returned."""
 
     def run(rows: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        token_bytes = {v: k for k, v in rank_table(raw_ranks.value).items()}
+        token_bytes: dict[int, bytes] = {}
+        if digests:
+            returned = words[words["kind"] == 3]
+            token_bytes = {t: b for ids, own in zip(returned["ids"], returned["bytes"]) for t, b in zip(ids.tolist(), own)}
+        words = words[words["kind"] == 1]
         order = np.frombuffer(zlib.decompress(rows.loc[rows["kind"] == 0, "payload"].iloc[0]), np.int32)
         counts, ids = [], []
         for payload in words.sort_values("part")["payload"]:
@@ -250,9 +257,17 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, digests: bool =
     # that the branches share it and texts are cut into pre-tokens once.
     blocks = gathered(documents).select(id_text(), "text").mapInPandas(make_blocks(pattern, parts), _BLOCK).repartition("block")
     only = lambda what: F.when(F.spark_partition_id() >= 0, what)
-    encoded = blocks.where(only(F.col("kind") == 1)).groupBy("part").applyInPandas(encode_words(ranks, pattern), _BLOCK)
+    encoded = blocks.where(only(F.col("kind") == 1)).groupBy("part").applyInPandas(encode_words(ranks), _ENCODED)
+    if digests:  # likewise shared: the ids of a block meet their bytes where the block is
+        encoded = encoded.repartition("block")
+        used = encoded.where(only(F.lit(True))).select("block", F.explode("ids").alias("token_id")).distinct()
+        pairs = used.join(F.broadcast(token_table(documents, ranks_path)), "token_id").groupBy("block").agg(F.collect_list(F.struct("token_id", "bytes")).alias("t"))
+        tokens = pairs.select("block", F.lit(3).alias("kind"), F.lit(-1).alias("part"), F.col("t.token_id").alias("ids"), F.col("t.bytes").alias("bytes"), F.lit(None).cast("binary").alias("payload"))
+        back = encoded.where(only(F.lit(True))).select("block", "kind", "part", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("array<binary>").alias("bytes"), "payload").unionByName(tokens)
+    else:
+        back = encoded.select("block", "kind", "part", "payload")
     out = "doc_id string, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>")
-    done = blocks.where(only(F.col("kind") != 1)).groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble(ranks, digests), out)
+    done = blocks.where(only(F.col("kind") != 1)).groupBy("block").cogroup(back.groupBy("block")).applyInPandas(assemble(digests), out)
     return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
