@@ -70,15 +70,47 @@ def _class(kind: str) -> str:
 def splitter(pattern: str):
     """A function from text to its matches of ``pattern``.
 
-    A text is first cut at single spaces between two visible characters.  The pattern never matches across such
-    a place but with the space as its first character, so each piece is matched alone, once per block.  The
-    standard library's engine needs explicit classes; white space is Unicode's White_Space.
+    The standard library's engine needs explicit classes; white space is Unicode's White_Space.
     """
     space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
     letters, numbers = _class("L"), _class("N")
     p = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
     p = p.replace(r"(?!\S)", f"(?![^{space}])").replace(r"\s", f"[{space}]")
-    return re.compile(p).findall, re.compile(r"(?<=\S) (?=\S)").split
+    return re.compile(p).findall
+
+
+class Codes(dict):
+    """Of each piece between single spaces, the codes of its pre-tokens; the piece is matched once, with its space.
+
+    The pattern never matches across a single space between two visible characters but with the space as its first
+    character.  A piece that is empty or has white space at an end has None: a text that holds it is cut slowly.
+    """
+
+    def __init__(self, findall, words: dict, lead: str):
+        self.findall, self.words, self.lead = findall, words, lead
+
+    def __missing__(self, piece: str):
+        clean = piece != "" and not piece[0].isspace() and not piece[-1].isspace()
+        self[piece] = got = self.of(self.lead + piece) if clean else None
+        return got
+
+    def of(self, text: str) -> list[int]:
+        return [self.words.setdefault(w, len(self.words)) for w in self.findall(text)]
+
+
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def codes_of(text: str, first: Codes, later: Codes) -> list[int]:
+    head, *rest = text.split(" ")
+    try:
+        return first[head] + [c for piece in rest for c in later[piece]]
+    except TypeError:  # a piece of the text is None
+        head, *rest = _CUT.split(text)
+        out = first.of(head)
+        for piece in rest:
+            out += later.get(piece) or first.of(" " + piece)
+        return out
 
 
 def pack(codes: np.ndarray) -> bytes:
@@ -107,7 +139,7 @@ def unpack(raw: bytes) -> np.ndarray:
 
 def make_blocks(pattern: str, parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        findall, split = splitter(pattern)
+        findall = splitter(pattern)
 
         def finish(ids, docs, words, place):
             lens = np.array([len(d) for d in docs], np.int64)
@@ -143,27 +175,26 @@ def make_blocks(pattern: str, parts: int):
             for i in range(0, len(rows), 64):
                 yield pd.DataFrame(rows[i : i + 64], columns=["block", "kind", "part", "ids", "counts", "payload"])
 
-        ids, docs, words, pieces, n, own_partition, number = [], [], {}, {}, 0, partition(), 0
+        own_partition, number = partition(), 0
+
+        def opened():
+            words: dict[str, int] = {}
+            return [], [], words, Codes(findall, words, ""), Codes(findall, words, " "), 0
+
+        ids, docs, words, first, later, n = opened()
         for batch in batches:
             for i, text in zip(batch["doc_id"], batch["text"]):
-                codes: list[int] = []
-                if isinstance(text, str) and text:
-                    for k, piece in enumerate(split(text)):
-                        key = piece if k == 0 else " " + piece
-                        got = pieces.get(key)
-                        if got is None:
-                            got = [words.setdefault(w, len(words)) for w in findall(key)]
-                            pieces[key] = got
-                        codes += got
+                codes = codes_of(text, first, later) if isinstance(text, str) and text else []
                 ids.append(i)
                 docs.append(np.array(codes, np.int32))
                 n += len(codes)
                 if len(words) >= BLOCK_WORDS or n >= BLOCK_CODES:
                     yield from finish(ids, docs, words, (own_partition, number))
-                    ids, docs, words, pieces, n, number = [], [], {}, {}, 0, number + 1
+                    ids, docs, words, first, later, n = opened()
+                    number += 1
         if ids:
             yield from finish(ids, docs, words, (own_partition, number))
-        ids, docs, words, pieces = [], [], {}, {}
+        ids, docs, words, first, later, n = opened()
         give_back()
 
     return run
@@ -260,7 +291,8 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, digests: bool =
     encoded = blocks.where(only(F.col("kind") == 1)).groupBy("part").applyInPandas(encode_words(ranks), _ENCODED)
     if digests:  # likewise shared: the ids of a block meet their bytes where the block is
         encoded = encoded.repartition("block")
-        used = encoded.where(only(F.lit(True))).select("block", F.explode("ids").alias("token_id")).distinct()
+        used = encoded.where(only(F.lit(True))).groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+        used = used.select("block", F.explode("ids").alias("token_id"))
         pairs = used.join(F.broadcast(token_table(documents, ranks_path)), "token_id").groupBy("block").agg(F.collect_list(F.struct("token_id", "bytes")).alias("t"))
         tokens = pairs.select("block", F.lit(3).alias("kind"), F.lit(-1).alias("part"), F.col("t.token_id").alias("ids"), F.col("t.bytes").alias("bytes"), F.lit(None).cast("binary").alias("payload"))
         back = encoded.where(only(F.lit(True))).select("block", "kind", "part", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("array<binary>").alias("bytes"), "payload").unionByName(tokens)
