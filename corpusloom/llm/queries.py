@@ -170,6 +170,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def _op10_sql() -> str:
+    quoted = lambda x: x.replace("'", "''")
+    rows = ", ".join(f"('{quoted(k)}', '{quoted(v)}')" for k, v in sorted(licenses.TEMPLATES.items()))
+    grams = lambda source, keep: rf"""select {keep}, i - 1 as pos, array_to_string(w[i:i + 4], ' ') as g
+  from (select {keep}, w, unnest(generate_series(1, len(w) - 4)) as i from (select {keep}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as w from {source}) where len(w) >= 5)"""
+    return rf"""
+with templates(license, text) as (values {rows}),
+sizes as (select license, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) as n from templates),
+own as (select distinct license, g from ({grams('templates', 'license')})),
+totals as (select license, count(*) as total from own group by license),
+places as (select distinct doc_id, pos, g from ({grams('documents', 'doc_id')}) where g in (select g from own)),
+hits as (
+  select doc_id, license, g, n + n // 4 as span, greatest(1, n // 4) as stride, pos, unnest(generate_series(0, (n + n // 4 - 5) // greatest(1, n // 4))) as back
+  from places join own using (g) join sizes using (license)),
+windows as (
+  select doc_id, license, pos // stride - back as win, count(distinct g) as shared from hits
+  where pos // stride - back >= 0 and pos <= (pos // stride - back) * stride + span - 5 group by all),
+found as (select distinct doc_id, license from windows join totals using (license) where shared * 1000 // total >= 800)
+select d.doc_id, count(license) as n_licenses, coalesce(string_agg(license, ',' order by license), '') as licenses
+from documents d left join found using (doc_id) group by d.doc_id
+"""
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_byte_bpe": op2_byte_bpe,
@@ -182,4 +205,4 @@ QUERIES = {
     "op9_katz_scores": op9_katz_scores,
     "op10_license_scan": op10_license_scan,
 }
-SQL = {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_mix_sources": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_near_duplicates": OP8_SQL}
+SQL = {"op1_exact_topk": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_mix_sources": OP4_SQL, "op6_quality_rules": OP6_SQL, "op8_near_duplicates": OP8_SQL, "op10_license_scan": _op10_sql()}

@@ -573,3 +573,17 @@ def test_toxic_offsets_of_odd_letters():
     model = toxicity.Model(evidence={"idiot": 1}, emission=np.array([[0.0, -4.0], [0.0, 4.0]]), fitted=True)
     text = "İİ you idiot"
     assert [text[a:b] for a, b, _ in toxicity.score_text(model, text, {})[1]] == ["idiot"]
+
+
+def test_pii_formats():
+    model = pii.train()
+    for text, want in {
+        "see fe80::1 there": "ip:4:11", "host 2001:db8::1:2 up": "ip:5:18", "call 5551234567 now": "phone:5:15", "mail john.doe at example.com please": "email:5:28",
+        "write to ann@corp dot com": "email:9:25", "we look at example.com now": "", "time 12:30:45": "", "a::b": "", "order 5551234567": "",
+    }.items():
+        assert pii.spell(pii.added_spans(text, pii.base_spans(text), model)) == want, text
+    assert len(pii.proposals("ring 020 7946 0958")) == 3  # overlapping proposals of one kind
+
+
+def test_no_templates(spark):
+    assert {tuple(r.licenses) for r in licenses.scan(documents(spark), {"short": "one two"}).collect()} == {()}
