@@ -23,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gathered
+from .common import cut, gathered, tasks_for
 
 SHINGLE, BANDS, THRESHOLD = 5, 24, 0.8
 #: Template tables of more rows than this are joined by shuffles.
@@ -136,9 +136,11 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataF
 
     may = F.coalesce(F.lower("text"), F.lit("")).rlike("(?:" + "|".join(anchors(templates)) + ")") if templates else F.lit(False)
     w = F.when(may, tokens(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    rows = cut(gathered(documents).select(F.monotonically_increasing_id().alias("row"), "doc_id", w.alias("w")))
-    grams = rows.where(F.size("w") >= SHINGLE).select("row", F.posexplode(shingles(F.col("w"))).alias("pos", "g"))
-    hits = grams.join(small(every.select(F.col("g").alias("t")).distinct()), F.col("g") == F.col("t"), "left_semi")
+    # A row's shingles come from one task, so its number holds for them; only its hits are kept.
+    grams = gathered(documents).select(F.monotonically_increasing_id().alias("row"), "doc_id", w.alias("w")).select("row", "doc_id", F.posexplode_outer(shingles(F.col("w"))).alias("pos", "g"))
+    marked = grams.join(small(every.select(F.col("g").alias("t")).distinct()), F.col("g") == F.col("t"), "left")
+    rows = cut(marked.groupBy("row", "doc_id").agg(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("pos", "g"))).alias("hits")).coalesce(tasks_for(documents)))
+    hits = rows.select("row", F.inline("hits"))
 
     # The windows of each size that hold a hit, with their shingles and the MinHash of each band
     lengths = sorted(r["n_words"] for r in known.select("n_words").distinct().collect())  # as bounded as the templates
