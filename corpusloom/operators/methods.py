@@ -41,13 +41,17 @@ def translation_chain(df: DataFrame, tier: str = "standard", registry: dict[str,
 def chunk_map_rows(df: DataFrame, engine: Callable[[Column], Column], limit: int = T.CHUNK_LIMIT, key: str = "doc_id") -> DataFrame:
     """Chunk map for remote engines, which can't run inside an array: one row per chunk, put together by position.
 
-    The shuffle carries one text in total per document; ``key`` must be unique.
+    The shuffle carries one text in total per document.  Rows are told apart by their number in the plan, so a
+    repeated or null ``key`` keeps its rows, and a row travels whole beside its chunks.
     """
     chunks = F.when(F.length("text") > limit, T.pack_chunks(F.col("text"), limit)).otherwise(F.array("text"))
-    rows = df.select(key, F.posexplode(chunks).alias("pos", "chunk")).withColumn("out", engine(F.col("chunk")))
-    parts = F.array_sort(F.collect_list(F.struct("pos", "out")))
-    joined = rows.groupBy(key).agg(parts.alias("parts")).select(key, F.array_join(F.transform("parts", lambda p: p["out"]), " ").alias("result"))
-    return df.join(joined, key, "left")
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
+    numbered = df.select(F.monotonically_increasing_id().alias("__n"), whole, F.posexplode(chunks).alias("__pos", "__chunk"))
+    # The row itself goes with its first chunk alone.
+    rows = numbered.select("__n", F.when(F.col("__pos") == 0, F.col("__row")).alias("__row"), "__pos", engine(F.col("__chunk")).alias("__out"))
+    parts = F.array_sort(F.collect_list(F.struct("__pos", "__out")))
+    joined = rows.groupBy("__n").agg(F.first("__row", ignorenulls=True).alias("__row"), parts.alias("__parts"))
+    return joined.select("__row.*", F.array_join(F.transform("__parts", lambda p: p["__out"]), " ").alias("result"))
 
 
 def multi_round(df: DataFrame, rounds: int = 2, engines: Sequence[Callable[[Column], Column]] | None = None, **_) -> DataFrame:
