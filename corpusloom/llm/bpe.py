@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, give_back, id_text, partition
+from .common import cut, gathered, give_back, id_text, partition, parts_for
 
 #: A block ends once it holds this many distinct pre-tokens (or codes, below), which bounds a task's memory.
 BLOCK_WORDS, BLOCK_CODES = 250_000, 8_000_000
@@ -283,7 +283,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, digests: bool =
     """doc_id, n_tokens and token_ids for each document; with ``digests`` the digests of ids and decoded bytes instead."""
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(documents)
     # One exchange by block serves both branches.  A filter that names the partition is not pushed below it, so
     # that the branches share it and texts are cut into pre-tokens once.
     blocks = gathered(documents).select(id_text(), "text").mapInPandas(make_blocks(pattern, parts), _BLOCK).repartition("block")

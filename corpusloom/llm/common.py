@@ -18,12 +18,25 @@ FILE_ROWS, LEAST_FILES = 100_000, 8
 
 #: Bytes of input (as its files have them) that are worth a task of their own.
 TASK_BYTES = 16 << 20
+#: More parts than 100 TB call for come from a size that is not known.
+MOST_PARTS = (100 << 40) // TASK_BYTES
+
+
+def _by_size(df: DataFrame) -> int:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(-(-size // TASK_BYTES), 1 << 30)
 
 
 def tasks_for(df: DataFrame) -> int:
     """How many tasks the size of ``df`` calls for, four per core at least."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 1 << 30))
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, _by_size(df))
+
+
+def parts_for(df: DataFrame) -> int:
+    """Parts of a table that is dealt by hash and handled part by part: as many as shuffles have, and more where the
+    size of ``df`` calls for them, so that no part outgrows a task.  An unknown size (of a join, say) adds none."""
+    shuffled, own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _by_size(df)
+    return max(shuffled, own) if own <= MOST_PARTS else shuffled
 
 
 def gathered(df: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, give_back, id_text, partition
+from .common import cut, gathered, give_back, id_text, partition, parts_for
 
 #: Tokens of a block, which bounds the memory of a task.
 BLOCK_TOKENS = 1_500_000
@@ -317,7 +317,7 @@ def settle(docs: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
 
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(documents)
     texts = gathered(documents).select(id_text(), "text")
     count = lambda pairs: cut(texts.mapInPandas(send(parts, pairs), _SENT).groupBy("part").applyInPandas(count_part, _COUNTED))
     words, pairs = count(False), count(True)

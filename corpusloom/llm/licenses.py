@@ -139,6 +139,7 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataF
     # A row's shingles come from one task, so its number holds for them; only its hits are kept.
     grams = gathered(documents).select(F.monotonically_increasing_id().alias("row"), "doc_id", w.alias("w")).select("row", "doc_id", F.posexplode_outer(shingles(F.col("w"))).alias("pos", "g"))
     marked = grams.join(small(every.select(F.col("g").alias("t")).distinct()), F.col("g") == F.col("t"), "left")
+    marked = marked.where("t is not null or coalesce(pos, 0) = 0")  # the hits, and one shingle for each row
     rows = cut(marked.groupBy("row", "doc_id").agg(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("pos", "g"))).alias("hits")).coalesce(tasks_for(documents)))
     hits = rows.select("row", F.inline("hits"))
 

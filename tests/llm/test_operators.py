@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -506,12 +507,25 @@ def test_katz(spark, monkeypatch):
     docs = [(r.doc_id, (r.text or "").encode().lower().split() + [katz.END]) for r in df.collect()]
     uni, bi, hist = collections.Counter(), collections.Counter(), collections.Counter()
     for i, w in docs:
-        if not katz.held_out(i):
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
             h = [katz.START, *w[:-1]]
             uni.update(w), bi.update(zip(h, w)), hist.update(h)
-    total, counts = sum(uni.values()), lambda c: [sum(v == r for v in c.values()) for r in range(1, 7)]
-    du, db = katz.discounts(counts(uni)), katz.discounts(counts(bi))
-    f = lambda c, d: d[c] * c if c <= katz.TOP else c - katz.SPARE
+    total = sum(uni.values())
+
+    def good_turing(counts):
+        """Katz's discounts of counts up to 5, absolute ones where the counts of counts give none."""
+        n = collections.Counter(counts.values())
+        fixed = min(n[1] / (n[1] + 2 * n[2]), 0.9) if n[1] and n[2] else 0.5
+        out = {r: 1 - fixed / r for r in range(1, 6)}
+        common = 6 * n[6] / n[1]
+        for r in out:
+            if n[r] and common != 1:
+                x = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common)
+                out[r] = x if 0.05 < x < 1 else out[r]
+        return out
+
+    du, db = good_turing(uni), good_turing(bi)
+    f = lambda c, d: d[c] * c if c <= 5 else c - 0.001
     unknown = (total - sum(f(c, du) for c in uni.values())) / total
     p1 = lambda w: f(uni[w], du) / total if uni[w] else unknown
     after = collections.defaultdict(list)
@@ -523,7 +537,7 @@ def test_katz(spark, monkeypatch):
         pairs = list(zip([katz.START, *w[:-1]], w))
         s = sum(math.log10(f(bi[x], db) / hist[x[0]] if bi[x] else alpha.get(x[0], 1.0) * p1(x[1])) for x in pairs)
         b = sum(math.log10((uni[x] + 1) / (total + len(uni) + 1)) for x in w)
-        want.append((-1 if i is None else i, katz.held_out(i), len(w), sum(uni[x] > 0 for x in w), total, round(b, 4), round(s, 4)))
+        want.append((-1 if i is None else i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(uni[x] > 0 for x in w), total, round(b, 4), round(s, 4)))
     got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in katz.score(df).collect()]
     assert sorted(got) == sorted(want)
     for h in list(after)[:200]:  # each history sums to one
@@ -580,8 +594,6 @@ def test_large_ids_beside_nulls(spark):
     for made in (bpe.encode(df, path, P.PATTERN), bpe.encode(df, path, P.PATTERN, digests=True), toxicity.score(df, model), pii.find(df, pii.train(200)), neardup.group(df), katz.score(df)):
         assert sorted(-1 if r.doc_id is None else r.doc_id for r in made.select("doc_id").collect()) == want
     out = [r.held_out for r in katz.score(df).collect()]
-    import zlib
-
     assert sum(out) == sum(zlib.crc32(str(i).encode()) % 7 == 2 for i in big) * 2
     back = pii.redact(df, pii.train(200)).collect()
     assert sorted((-1 if r.other is None else r.other) for r in back) == want
