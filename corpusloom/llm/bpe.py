@@ -290,12 +290,14 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, digests: bool =
     only = lambda what: F.when(F.spark_partition_id() >= 0, what)
     encoded = blocks.where(only(F.col("kind") == 1)).groupBy("part").applyInPandas(encode_words(ranks), _ENCODED)
     if digests:  # likewise shared: the ids of a block meet their bytes where the block is
-        encoded = encoded.repartition("block")
-        used = encoded.where(only(F.lit(True))).groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+        # The filter names all columns, or each use would prune its own ones and so get an exchange of its own.
+        whole = F.when(F.spark_partition_id() >= 0, F.lit(True)).otherwise(F.hash(*encoded.columns) > 0)
+        encoded = encoded.repartition("block").where(whole)
+        used = encoded.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
         used = used.select("block", F.explode("ids").alias("token_id"))
         pairs = used.join(F.broadcast(token_table(documents, ranks_path)), "token_id").groupBy("block").agg(F.collect_list(F.struct("token_id", "bytes")).alias("t"))
         tokens = pairs.select("block", F.lit(3).alias("kind"), F.lit(-1).alias("part"), F.col("t.token_id").alias("ids"), F.col("t.bytes").alias("bytes"), F.lit(None).cast("binary").alias("payload"))
-        back = encoded.where(only(F.lit(True))).select("block", "kind", "part", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("array<binary>").alias("bytes"), "payload").unionByName(tokens)
+        back = encoded.select("block", "kind", "part", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("array<binary>").alias("bytes"), "payload").unionByName(tokens)
     else:
         back = encoded.select("block", "kind", "part", "payload")
     out = "doc_id string, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>")
