@@ -46,7 +46,8 @@ def chunk_map_rows(df: DataFrame, engine: Callable[[Column], Column], limit: int
     """
     chunks = F.when(F.length("text") > limit, T.pack_chunks(F.col("text"), limit)).otherwise(F.array("text"))
     whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
-    numbered = df.select(F.monotonically_increasing_id().alias("__n"), whole, F.posexplode(chunks).alias("__pos", "__chunk"))
+    numbered = df.select(F.monotonically_increasing_id().alias("__n"), whole, chunks.alias("__chunks"))
+    numbered = numbered.select("__n", "__row", F.posexplode("__chunks").alias("__pos", "__chunk"))
     # The row itself goes with its first chunk alone.
     rows = numbered.select("__n", F.when(F.col("__pos") == 0, F.col("__row")).alias("__row"), "__pos", engine(F.col("__chunk")).alias("__out"))
     parts = F.array_sort(F.collect_list(F.struct("__pos", "__out")))

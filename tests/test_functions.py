@@ -141,6 +141,9 @@ def test_remote_engine(spark):
     shout = engines.remote(lambda source, target: lambda batch: [None if t is None else f"{source}{t.upper()}" for t in batch])
     got = methods.chunk_map_rows(df, lambda c: shout(c, "<", "en"), limit=20).orderBy("doc_id").collect()
     assert got[1]["result"] == "<X" and got[0]["result"].count("<") == 2
+    twice = df.union(df).unionByName(spark.createDataFrame([(None, "y"), (None, "y")], df.schema))
+    again = methods.chunk_map_rows(twice, lambda c: shout(c, "<", "en"), limit=20)
+    assert again.columns == ["doc_id", "text", "result"] and sorted(r["result"] for r in again.collect()) == sorted([got[0]["result"], "<X"] * 2 + ["<Y"] * 2)
 
 
 def test_config():
