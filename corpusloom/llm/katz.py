@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, give_back, id_text, partition, parts_for
+from .common import cut, drop_shuffles, gathered, give_back, id_text, partition, parts_for
 
 #: Tokens of a block, which bounds the memory of a task.
 BLOCK_TOKENS = 1_500_000
@@ -320,11 +320,16 @@ def score(documents: DataFrame) -> DataFrame:
     parts = parts_for(documents)
     texts = gathered(documents).select(id_text(), "text")
     count = lambda pairs: cut(texts.mapInPandas(send(parts, pairs), _SENT).groupBy("part").applyInPandas(count_part, _COUNTED))
-    words, pairs = count(False), count(True)
+    spark = documents.sparkSession
+    words = count(False)
+    drop_shuffles(spark)
+    pairs = count(True)
+    drop_shuffles(spark)
     totals = [[int(x or 0) for x in t.agg(*(F.sum(c) for c in ("tokens", "types", *(f"n{r}" for r in range(1, 7))))).first()] for t in (words, pairs)]
     back = words.select("block", F.lit(0).alias("kind"), "part", "payload").unionByName(pairs.select("block", F.lit(1).alias("kind"), "part", "payload"))
     own = texts.mapInPandas(documents_of, _SENT)
     scored = cut(own.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(score_documents(parts, *totals), _SCORED))
+    drop_shuffles(spark)
     weights = scored.where("kind = 5").select("block", "part", "payload").groupBy("part").applyInPandas(weigh, _SENT)
     result = "doc_id string, n_tokens long, n_known long, base double, score double"
     waiting = scored.where("kind = 4 and payload is not null").groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(settle, result)

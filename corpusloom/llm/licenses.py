@@ -99,7 +99,7 @@ def shingles(w: Column) -> Column:
 
 def template_table(spark, templates: dict[str, str]) -> DataFrame:
     """license, n_words, grams: one row per template."""
-    rows = F.array(*(F.struct(F.lit(k).alias("license"), F.lit(v).alias("body")) for k, v in sorted(templates.items())))
+    rows = F.array(*(F.struct(F.lit(k).alias("license"), F.lit(v).alias("body")) for k, v in sorted(templates.items()))).cast("array<struct<license:string,body:string>>")
     table = spark.range(1).select(F.inline(rows)).select("license", tokens(F.col("body")).alias("w"))
     return table.select("license", F.size("w").alias("n_words"), F.array_distinct(shingles(F.col("w"))).alias("grams"))
 
