@@ -1,18 +1,19 @@
-"""Language-model scores by Katz backoff over bigrams, with Good-Turing discounts and exact backoff weights.
+"""Language-model scores by Katz backoff of any order, with Good-Turing discounts and exact backoff weights.
 
-Tokens are words, then one end; a start stands before each text.  Counts come from the documents that may be
-learned from.  P(w | h) is the discounted share of the bigram where it was seen, else a(h) * P(w); P(w) is the
-discounted share of the word, and what the discounts leave over is the chance of any unknown word.  a(h) is
-the mass that h's discounts leave, over the mass of words not seen after h, so each history sums to one.
+Tokens are words, then one end; a start stands before each text, and histories don't reach beyond it.  Counts come
+from the documents that may be learned from.  P(w | h) is the discounted share of the n-gram hw where it was seen,
+else a(h) * P(w | h without its first word), and so on down to P(w): the discounted share of the word, where what
+the discounts leave over is the chance of any unknown word.  a(h) is the mass that h's discounts leave, over the
+mass, at the next lower order, of words not seen after h, so each history sums to one; of a history never seen it is one.
 
-Tables are dealt by hash, and a block of documents speaks to them in sorted arrays of 64-bit fingerprints, one
-row per block and part, so that a frequent word is one entry per block:
+Tables are dealt by hash, one table for each length of n-gram, and a block of documents speaks to them in sorted
+arrays of 64-bit fingerprints, one row per block and part, so that a frequent n-gram is one entry per block:
 
-1. words: blocks send fingerprints and counts; the part returns the counts over all blocks;
-2. bigrams: the same; each bigram also gets one block as its owner;
-3. histories: owners send, per history, the left-over mass and the mass of its seen words; the part sums them
-   and returns the weights that held-out documents need;
-4. blocks score their documents: seen bigrams at once, backed-off ones when the weights are there.
+1. n-grams, one length after another: blocks send fingerprints, counts and which of them held-out documents have;
+   the part returns the counts over all blocks, and gives each n-gram one block as its owner;
+2. blocks score their documents token by token down the orders: what needs no weight at once; owners send, per
+   history that held-out documents have, the left-over mass and the mass of its seen words;
+3. histories: the part sums them and returns the weights that blocks wait for, which then join their scores.
 
 Blocks are cut alike in each pass and named by their content and place (partition, number in the partition), so
 that blocks of the same rows stay apart; a block that misses its counts stops the job.
@@ -42,8 +43,9 @@ TOP, SPARE = 5, 1e-3
 END, START = b" ", b"\t"  # no word holds white space
 
 _SENT = "block long, part int, payload binary"
+_WEIGHED = "block long, level int, part int, payload binary"
 _COUNTED = _SENT + ", tokens long, types long, n1 long, n2 long, n3 long, n4 long, n5 long, n6 long"
-_SCORED = "block long, kind int, part int, doc_id string, n_tokens long, n_known long, base double, score double, payload binary"
+_SCORED = "block long, level int, part int, doc_id string, n_tokens long, n_known long, base double, score double, payload binary"
 
 
 def fingerprints(words: list[bytes]) -> np.ndarray:
@@ -63,7 +65,15 @@ def pack(values: np.ndarray, rising: bool = False) -> bytes:
 
 def unpack(raw: bytes, rising: bool = False, kind=np.uint64) -> np.ndarray:
     v = np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(v, dtype=np.uint64) if rising else v.view(kind)
+    return (np.cumsum(v, dtype=np.uint64) if rising else v).view(kind)
+
+
+def pack_bits(values: np.ndarray) -> bytes:
+    return zlib.compress(np.packbits(values).tobytes(), 1)
+
+
+def unpack_bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8))[:n].astype(bool)
 
 
 def bundle(*parts: bytes) -> bytes:
@@ -95,24 +105,37 @@ class Block:
         digest = hashlib.blake2b(repr((place, ids)).encode() + self.flat.tobytes(), digest_size=8)
         self.name = int.from_bytes(digest.digest(), "little", signed=True)
 
-    def tokens(self):
-        """Places of the tokens (all but the starts) in ``flat`` and the document of each."""
-        starts = np.zeros(len(self.flat), bool)
-        starts[np.cumsum(self.lens) - self.lens] = True
-        return np.flatnonzero(~starts), np.repeat(np.arange(len(self.ids)), self.lens - 1)
-
-    def table(self, keys: np.ndarray, of_train: np.ndarray, parts: int):
-        """Distinct keys by part, then value; where each key stands among them; their counts in training documents."""
+    def documents(self) -> np.ndarray:
+        """The document of each place in ``flat``."""
+        return np.repeat(np.arange(len(self.ids)), self.lens)
+
+    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For n up to ``order``: the places in ``flat`` where an n-gram ends (n = 1: all) and the n-grams' keys."""
+        offset = np.arange(len(self.flat)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        at, keys = np.arange(len(self.flat)), self.flat
+        for n in range(1, order + 1):
+            if n > 1:
+                inner = np.flatnonzero(offset[at] >= n - 1)  # their predecessors end an (n-1)-gram one entry before
+                keys = extended(keys[inner - 1], self.flat[at[inner]])
+                at = at[inner]
+            yield at, keys
+
+    def table(self, at: np.ndarray, keys: np.ndarray, parts: int):
+        """Distinct keys by part, then value; the part of each; where each key stands among them; their counts in
+        training documents; which of them held-out documents have."""
         distinct, where = np.unique(keys, return_inverse=True)
         part = (distinct % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
+        of_train = np.repeat(self.train, self.lens)[at]
         counts = np.bincount(where, of_train, len(distinct)).astype(np.int64)
-        return distinct[order], part[order], place[where], counts[order]
+        wanted = np.bincount(where, ~of_train, len(distinct)) > 0
+        return distinct[order], part[order], place[where], counts[order], wanted[order]
 
 
-def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+def extended(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of histories with a word more."""
     x = (history * np.uint64(0x9E3779B97F4A7C15) ^ (word >> np.uint64(29))) + word * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(30)
     return x * np.uint64(0x94D049BB133111EB)
@@ -135,46 +158,67 @@ def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
         yield Block(ids, lens, words, (own_partition, number))
 
 
-def _tables(b: Block, parts: int):
-    """The word table (over all of ``flat``, starts as words) and the bigram table (over the tokens)."""
-    at, doc = b.tokens()
-    words = b.table(b.flat, np.repeat(b.train, b.lens).astype(float), parts)
-    pairs = b.table(pair_keys(b.flat[at - 1], b.flat[at]), b.train[doc].astype(float), parts)
-    return at, doc, words, pairs
-
+def send(parts: int, n: int):
+    """Each block's n-grams, by part."""
 
-def send(parts: int, pairs: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in blocks(batches):
-            if pairs:
-                at, doc = b.tokens()
-                keys, part, _, counts = b.table(pair_keys(b.flat[at - 1], b.flat[at]), b.train[doc].astype(float), parts)
-            else:
-                keys, part, _, counts = b.table(b.flat, np.repeat(b.train, b.lens).astype(float), parts)
+            for at, found in b.grams(n):
+                pass
+            keys, part, _, counts, wanted = b.table(at, found, parts)
             edge = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(b.name, p, bundle(pack(keys[edge[p] : edge[p + 1]], True), pack(counts[edge[p] : edge[p + 1]]))) for p in range(parts) if edge[p] < edge[p + 1]]
+            cuts = [(p, slice(edge[p], edge[p + 1])) for p in range(parts) if edge[p] < edge[p + 1]]
+            rows = [(b.name, p, bundle(pack(keys[c], True), pack(counts[c]), pack_bits(wanted[c]))) for p, c in cuts]
             yield pd.DataFrame(rows, columns=["block", "part", "payload"])
         give_back()
 
     return run
 
 
-def count_part(rows: pd.DataFrame) -> pd.DataFrame:
-    """Counts over all blocks of the keys of one part: returned in each block's order, with key number and owner."""
-    sent = [tuple(unpack(x, k == 0) for k, x in enumerate(unbundle(p))) for p in rows["payload"]]
-    keys, where = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
-    counts = np.bincount(where, np.concatenate([s[1] for s in sent]).astype(float), len(keys)).astype(np.int64)
-    owner = np.zeros(len(where), bool)
-    owner[np.unique(where, return_index=True)[1]] = True
-    real = counts[(keys != fingerprints([START])[0]) & (counts > 0)]
-    stats = (int(real.sum()), len(real), *(int((real == r).sum()) for r in range(1, TOP + 2)))
-    out, at = [], 0
-    for k, (block, part, s) in enumerate(zip(rows["block"], rows["part"], sent)):
-        own = where[at : at + len(s[0])]
-        payload = bundle(pack(counts[own]), pack(own.astype(np.int64)), zlib.compress(np.packbits(owner[at : at + len(own)]).tobytes(), 1))
-        out.append((block, part, payload, *(stats if k == 0 else (0,) * 8)))
-        at += len(own)
-    return pd.DataFrame(out, columns=["block", "part", "payload", "tokens", "types", *(f"n{r}" for r in range(1, 7))])
+def count_part(n: int, order: int):
+    """Counts over all blocks of the n-grams of one part, returned in each block's order; with owners, where n-grams
+    have a history, and with numbers and what held-out documents have, where they are histories."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sent = []
+        for p in rows["payload"]:
+            keys, counts, wanted = unbundle(p)
+            keys = unpack(keys, True)
+            sent.append((keys, unpack(counts, kind=np.int64), unpack_bits(wanted, len(keys))))
+        keys, where = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([s[1] for s in sent]).astype(float), len(keys)).astype(np.int64)
+        wanted = np.bincount(where, np.concatenate([s[2] for s in sent]), len(keys)) > 0
+        owner = np.zeros(len(where), bool)
+        owner[np.unique(where, return_index=True)[1]] = True
+        real = counts[(keys != fingerprints([START])[0]) & (counts > 0)]
+        stats = (int(real.sum()), len(real), *(int((real == r).sum()) for r in range(1, TOP + 2)))
+        out, at = [], 0
+        for k, (block, part, s) in enumerate(zip(rows["block"], rows["part"], sent)):
+            own = where[at : at + len(s[0])]
+            parcel = [pack(counts[own])]
+            parcel += [pack_bits(owner[at : at + len(own)])] if n > 1 else [b""]
+            parcel += [pack(own.astype(np.int64), True), pack_bits(wanted[own])] if n < order else [b"", b""]
+            out.append((block, part, bundle(*parcel), *(stats if k == 0 else (0,) * 8)))
+            at += len(own)
+        return pd.DataFrame(out, columns=["block", "part", "payload", "tokens", "types", *(f"n{r}" for r in range(1, 7))])
+
+    return run
+
+
+class Counted:
+    """What the parts returned of a block's n-grams of one length, in the order of the block's table."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.counts, self.owner, self.number, self.wanted = (np.empty(0, t) for t in (np.int64, bool, np.int64, bool))
+        parcels = [unbundle(p) for p in rows.sort_values("part")["payload"]]
+        if parcels:
+            counts = [unpack(x[0], kind=np.int64) for x in parcels]
+            self.counts = np.concatenate(counts)
+            if parcels[0][1]:
+                self.owner = np.concatenate([unpack_bits(x[1], len(c)) for x, c in zip(parcels, counts)])
+            if parcels[0][2]:
+                self.number = np.concatenate([unpack(x[2], True, np.int64) for x in parcels])
+                self.wanted = np.concatenate([unpack_bits(x[3], len(c)) for x, c in zip(parcels, counts)])
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -216,69 +260,92 @@ def restore(payload: bytes) -> Block:
     return b
 
 
-def score_documents(parts: int, words_n: list[int], pairs_n: list[int]):
-    """Score a block; words_n, pairs_n: tokens, types and six counts of counts of the two tables."""
-    dw, dp = discounts(words_n[2:]), discounts(pairs_n[2:])
-    total, types = words_n[0], words_n[1]
-    left = sum(r * (1 - dw[r]) * words_n[1 + r] for r in range(1, TOP + 1)) + SPARE * max(types - sum(words_n[2 : 2 + TOP]), 0)
+def score_documents(parts: int, stats: list[list[int]]):
+    """Score a block; stats: of each length of n-gram, tokens, types and six counts of counts."""
+    order, total, types = len(stats), stats[0][0], stats[0][1]
+    d = [discounts(n[2:]) for n in stats]
+    left = sum(r * (1 - d[0][r]) * stats[0][1 + r] for r in range(1, TOP + 1)) + SPARE * max(types - sum(stats[0][2 : 2 + TOP]), 0)
     unknown = left / total if total else 1.0
 
-    def run(docs: pd.DataFrame, words_rows: pd.DataFrame) -> pd.DataFrame:
+    def run(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         name, b = docs["block"].iloc[0], restore(docs["payload"].iloc[0])
-        at, doc, (_, w_part, w_place, _), (_, _, p_place, _) = _tables(b, parts)
-
-        def returned(kind: int):
-            rows = [unbundle(p) for p in words_rows.loc[words_rows["kind"] == kind].sort_values("part")["payload"]]
-            counts = [unpack(r[0], kind=np.int64) for r in rows]
-            owners = [np.unpackbits(np.frombuffer(zlib.decompress(r[2]), np.uint8))[: len(c)] for r, c in zip(rows, counts)]
-            return np.concatenate(counts), np.concatenate([unpack(r[1], kind=np.int64) for r in rows]), np.concatenate(owners).astype(bool)
-
-        w_count, w_number, _ = returned(0)
-        p_count, _, p_owner = returned(1)
-        if len(w_count) != len(w_part) or p_place.max() >= len(p_count):
-            raise ValueError("a block lost its counts")
-        word, history = w_place[at], w_place[at - 1]
-        known = w_count[word]
-        base = np.log10((known + 1) / (total + types + 1))
-        p1_table = np.where(w_count > 0, discounted(w_count, dw) / max(total, 1), unknown)
-        c_pair, c_history = p_count[p_place], w_count[history]
-        seen = c_pair > 0
-        with np.errstate(divide="ignore"):
-            log_seen = np.log10(discounted(c_pair, dp) / np.maximum(c_history, 1))
-            log_back = np.log10(p1_table[word]) - np.where(c_history > 0, np.log10(np.maximum(c_history, 1)), 0.0)
-        score = np.where(seen, log_seen, log_back)
-        n = len(b.ids)
+        doc, n = b.documents(), len(b.ids)
+        token = np.ones(len(doc), bool)
+        token[np.cumsum(b.lens) - b.lens] = False
+
+        # places[k], counted[k], part_of[k]: of n-grams of k + 1 words; a place is the entry in the block's table, -1 without n-gram
+        places, counted, part_of = [], [], []
+        for k, (at, keys) in enumerate(b.grams(order)):
+            _, part, place, _, _ = b.table(at, keys, parts)
+            own = Counted(back.loc[back["level"] == k + 1])
+            if len(own.counts) != len(part):
+                raise ValueError("a block lost its counts")
+            full = np.full(len(doc), -1, np.int32)
+            full[at] = place
+            places.append(full), counted.append(own), part_of.append(part)
+
+        def share(k: int, at: np.ndarray) -> np.ndarray:
+            """Discounted share of the n-grams that end at ``at``, which were seen if k > 0."""
+            c = counted[k].counts[places[k][at]]
+            if k == 0:
+                return np.where(c > 0, discounted(c, d[0]) / max(total, 1), unknown)
+            return discounted(c, d[k]) / np.maximum(counted[k - 1].counts[places[k - 1][at - 1]], 1)
+
+        score, open_ = np.zeros(len(doc)), np.flatnonzero(token)
+        waits: list[tuple[np.ndarray, np.ndarray]] = []  # tokens and the histories whose weights they wait for, from the longest
+        for k in range(order - 1, 0, -1):
+            inner = places[k][open_] >= 0
+            at = open_[inner]
+            history = places[k - 1][at - 1]
+            c_history = counted[k - 1].counts[history]
+            seen = counted[k].counts[places[k][at]] > 0
+            score[at[seen]] += np.log10(share(k, at[seen]))
+            back_off = ~seen & (c_history > 0)
+            score[at[back_off]] -= np.log10(c_history[back_off])
+            waits.append((at[back_off], history[back_off]))
+            open_ = np.concatenate((open_[~inner], at[~seen]))
+        score[open_] += np.log10(share(0, open_))
+        known = np.where(token, counted[0].counts[places[0]], 0)
+        base = np.where(token, np.log10((known + 1) / (total + types + 1)), 0.0)
         sums = lambda x: np.bincount(doc, x, n)
-        tokens, n_known, base, score = np.bincount(doc, minlength=n), sums(known > 0), sums(base), sums(score)
-
-        # What this block owns of each history
-        one = np.zeros(len(p_count), np.int64)
-        one[p_place] = np.arange(len(p_place))  # one token of each bigram
-        own = one[np.flatnonzero(p_owner[: len(one)] & (p_count > 0))]
-        h_own = history[own]
-        mass = np.bincount(h_own, c_pair[own] - discounted(c_pair[own], dp), len(w_part))
-        after = np.bincount(h_own, p1_table[word[own]], len(w_part))
-        waits = ~seen & (c_history > 0)
-        need = np.zeros(len(w_part), bool)
-        need[history[waits]] = True
-        slot = np.cumsum(need) - 1
+        tokens, n_known, base, score = sums(token), sums(known > 0), sums(base), sums(score)
+
+        # What this block owns of each history, and which weights it waits for
+        rows, slots, first = [], [], 0
+        edges = np.arange(parts + 1)
+        for k, (at, history) in enumerate(reversed(waits)):
+            size = len(counted[k].counts)
+            ends = np.flatnonzero(places[k + 1] >= 0)
+            one = np.zeros(len(counted[k + 1].counts), np.int64)
+            one[places[k + 1][ends]] = ends  # one place of each n-gram
+            own = one[counted[k + 1].owner & (counted[k + 1].counts > 0)]
+            own = own[counted[k].wanted[places[k][own - 1]]]
+            h, c = places[k][own - 1], counted[k + 1].counts[places[k + 1][own]]
+            mass = np.bincount(h, c - discounted(c, d[k + 1]), size)
+            after = np.bincount(h, share(k, own), size)
+            need = np.zeros(size, bool)
+            need[history] = True
+            slots.append((doc[at], first + (np.cumsum(need) - 1)[history]))
+            first += int(need.sum())
+            edge = np.searchsorted(part_of[k], edges)
+            for p in range(parts):
+                local = np.arange(edge[p], edge[p + 1])
+                local = local[(mass[local] > 0) | need[local]]
+                if len(local):
+                    payload = bundle(pack(counted[k].number[local], True), pack(mass[local]), pack(after[local]), pack_bits(need[local]))
+                    rows.append((name, k + 1, p, None, None, None, None, None, payload))
         pending: dict[int, bytes] = {}
-        if waits.any():
-            docs_w, slots = doc[waits], slot[history[waits]]
-            edges = np.searchsorted(docs_w, np.arange(n + 1))
-            pending = {d: pack(slots[edges[d] : edges[d + 1]]) for d in np.unique(docs_w).tolist()}
-        out = [(name, 4, None, i, int(t), int(k), float(x), float(y), pending.get(d)) for d, (i, t, k, x, y) in enumerate(zip(b.ids, tokens, n_known, base, score))]
-        edge = np.searchsorted(w_part, np.arange(parts + 1))
-        for p in range(parts):
-            local = np.arange(edge[p], edge[p + 1])
-            local = local[(mass[local] > 0) | (after[local] > 0) | need[local]]
-            if len(local):
-                payload = bundle(pack(w_number[local]), pack(mass[local]), pack(after[local]), zlib.compress(np.packbits(need[local]).tobytes(), 1))
-                out.append((name, 5, p, None, None, None, None, None, payload))
+        if first:
+            of, slot = (np.concatenate(x) for x in zip(*slots))
+            by = np.argsort(of, kind="stable")
+            of, slot = of[by], slot[by]
+            edge = np.searchsorted(of, np.arange(n + 1))
+            pending = {i: pack(slot[edge[i] : edge[i + 1]]) for i in np.unique(of).tolist()}
+        rows += [(name, 0, None, i, int(t), int(k), float(x), float(y), pending.get(j)) for j, (i, t, k, x, y) in enumerate(zip(b.ids, tokens, n_known, base, score))]
         if len(b.flat) > 100_000:
-            del b, at, doc, word, history, known, c_pair, c_history, log_seen, log_back
+            del b, doc, token, places, counted, part_of, known, waits, slots
             give_back()
-        frame = pd.DataFrame(out, columns=["block", "kind", "part", "doc_id", "n_tokens", "n_known", "base", "score", "payload"])
+        frame = pd.DataFrame(rows, columns=["block", "level", "part", "doc_id", "n_tokens", "n_known", "base", "score", "payload"])
         return frame.astype({"part": "Int32", "n_tokens": "Int64", "n_known": "Int64"})
 
     return run
@@ -289,51 +356,54 @@ def weigh(rows: pd.DataFrame) -> pd.DataFrame:
     sent = []
     for p in rows["payload"]:
         x = unbundle(p)
-        number = unpack(x[0], kind=np.int64)
-        sent.append((number, unpack(x[1], kind=np.float64), unpack(x[2], kind=np.float64), np.unpackbits(np.frombuffer(zlib.decompress(x[3]), np.uint8))[: len(number)].astype(bool)))
+        number = unpack(x[0], True, np.int64)
+        sent.append((number, unpack(x[1], kind=np.float64), unpack(x[2], kind=np.float64), unpack_bits(x[3], len(number))))
     numbers, where = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
     mass = np.bincount(where, np.concatenate([s[1] for s in sent]), len(numbers))
     after = np.bincount(where, np.concatenate([s[2] for s in sent]), len(numbers))
     weight = mass / np.maximum(1 - after, 1e-12)
     out, at = [], 0
-    for block, part, s in zip(rows["block"], rows["part"], sent):
+    for block, level, part, s in zip(rows["block"], rows["level"], rows["part"], sent):
         own = weight[where[at : at + len(s[0])]][s[3]]
         at += len(s[0])
         if len(own):
-            out.append((block, part, pack(own)))
-    return pd.DataFrame(out, columns=["block", "part", "payload"])
+            out.append((block, level, part, pack(own)))
+    return pd.DataFrame(out, columns=["block", "level", "part", "payload"])
 
 
 def settle(docs: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
     """Add the logarithms of the weights that a block's documents waited for."""
     if docs.empty:
         return docs[["doc_id", "n_tokens", "n_known", "base", "score"]]
-    logs = np.log10(np.concatenate([unpack(p, kind=np.float64) for p in weights.sort_values("part")["payload"]]))
+    logs = np.log10(np.concatenate([unpack(p, kind=np.float64) for p in weights.sort_values(["level", "part"])["payload"]]))
     more = [float(logs[unpack(p, kind=np.int64)].sum()) for p in docs["payload"]]
     out = docs[["doc_id", "n_tokens", "n_known", "base", "score"]].copy()
     out["score"] = out["score"] + more
     return out
 
 
-def score(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
+def score(documents: DataFrame, order: int = 3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document; n-grams of up to ``order`` words."""
+    if order < 1:
+        raise ValueError("order must be 1 at least")
     parts = parts_for(documents)
     texts = gathered(documents).select(id_text(), "text")
-    count = lambda pairs: cut(texts.mapInPandas(send(parts, pairs), _SENT).groupBy("part").applyInPandas(count_part, _COUNTED))
     spark = documents.sparkSession
-    words = count(False)
-    drop_shuffles(spark)
-    pairs = count(True)
-    drop_shuffles(spark)
-    totals = [[int(x or 0) for x in t.agg(*(F.sum(c) for c in ("tokens", "types", *(f"n{r}" for r in range(1, 7))))).first()] for t in (words, pairs)]
-    back = words.select("block", F.lit(0).alias("kind"), "part", "payload").unionByName(pairs.select("block", F.lit(1).alias("kind"), "part", "payload"))
+    tables, stats = [], []
+    for n in range(1, order + 1):
+        tables.append(cut(texts.mapInPandas(send(parts, n), _SENT).groupBy("part").applyInPandas(count_part(n, order), _COUNTED)))
+        drop_shuffles(spark)
+        stats.append([int(x or 0) for x in tables[-1].agg(*(F.sum(c) for c in ("tokens", "types", *(f"n{r}" for r in range(1, 7))))).first()])
+    back = tables[0].select("block", F.lit(1).alias("level"), "part", "payload")
+    for n, t in enumerate(tables[1:], 2):
+        back = back.unionByName(t.select("block", F.lit(n).alias("level"), "part", "payload"))
     own = texts.mapInPandas(documents_of, _SENT)
-    scored = cut(own.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(score_documents(parts, *totals), _SCORED))
+    scored = cut(own.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(score_documents(parts, stats), _SCORED))
     drop_shuffles(spark)
-    weights = scored.where("kind = 5").select("block", "part", "payload").groupBy("part").applyInPandas(weigh, _SENT)
+    weights = scored.where("level > 0").select("block", "level", "part", "payload").groupBy("level", "part").applyInPandas(weigh, _WEIGHED)
     result = "doc_id string, n_tokens long, n_known long, base double, score double"
-    waiting = scored.where("kind = 4 and payload is not null").groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(settle, result)
-    done = scored.where("kind = 4 and payload is null").select("doc_id", "n_tokens", "n_known", "base", "score").unionByName(waiting)
+    waiting = scored.where("level = 0 and payload is not null").groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(settle, result)
+    done = scored.where("level = 0 and payload is null").select("doc_id", "n_tokens", "n_known", "base", "score").unionByName(waiting)
     done = done.withColumn("doc_id", F.col("doc_id").cast("long"))
     out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
-    return done.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(totals[0][0]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    return done.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(stats[0][0]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

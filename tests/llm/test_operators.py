@@ -501,16 +501,19 @@ def test_keep_one_row(spark):
 
 
 # op9
-def test_katz(spark, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz(spark, monkeypatch, order):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 5000)
     df = read(spark, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, None), (None, "the the x"), (9003, ""), (9003, "zzz yyy")], "doc_id long, text string"))
-    docs = [(r.doc_id, (r.text or "").encode().lower().split() + [katz.END]) for r in df.collect()]
-    uni, bi, hist = collections.Counter(), collections.Counter(), collections.Counter()
+    docs = [(r.doc_id, (katz.START, *(r.text or "").encode().lower().split(), katz.END)) for r in df.collect()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    count, hist = collections.defaultdict(collections.Counter), collections.Counter()
     for i, w in docs:
-        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
-            h = [katz.START, *w[:-1]]
-            uni.update(w), bi.update(zip(h, w)), hist.update(h)
-    total = sum(uni.values())
+        if not held(i):
+            for n in range(1, order + 1):
+                count[n].update(w[k - n + 1 : k + 1] for k in range(max(n - 1, 1), len(w)))
+                hist.update(w[k - n : k] for k in range(n, len(w)))
+    total = sum(count[1].values())
 
     def good_turing(counts):
         """Katz's discounts of counts up to 5, absolute ones where the counts of counts give none."""
@@ -524,25 +527,40 @@ def test_katz(spark, monkeypatch):
                 out[r] = x if 0.05 < x < 1 else out[r]
         return out
 
-    du, db = good_turing(uni), good_turing(bi)
-    f = lambda c, d: d[c] * c if c <= 5 else c - 0.001
-    unknown = (total - sum(f(c, du) for c in uni.values())) / total
-    p1 = lambda w: f(uni[w], du) / total if uni[w] else unknown
+    d = {n: good_turing(count[n]) for n in range(1, order + 1)}
+
+    def kept(g):
+        c = count[len(g)][g]
+        return d[len(g)][c] * c if c <= 5 else c - 0.001
+
+    unknown = (total - sum(kept(g) for g in count[1])) / total
     after = collections.defaultdict(list)
-    for (h, w), c in bi.items():
-        after[h].append((w, c))
-    alpha = {h: (1 - sum(f(c, db) for _, c in x) / hist[h]) / (1 - sum(p1(w) for w, _ in x)) for h, x in after.items()}
+    for n in range(2, order + 1):
+        for g in count[n]:
+            after[g[:-1]].append(g)
+    alpha = {}
+
+    def p(g):
+        if len(g) == 1:
+            return kept(g) / total if count[1][g] else unknown
+        if count[len(g)][g]:
+            return kept(g) / hist[g[:-1]]
+        return (weight(g[:-1]) if hist[g[:-1]] else 1.0) * p(g[1:])
+
+    def weight(h):
+        if h not in alpha:
+            alpha[h] = (1 - sum(kept(g) for g in after[h]) / hist[h]) / (1 - sum(p(g[1:]) for g in after[h]))
+        return alpha[h]
+
     want = []
     for i, w in docs:
-        pairs = list(zip([katz.START, *w[:-1]], w))
-        s = sum(math.log10(f(bi[x], db) / hist[x[0]] if bi[x] else alpha.get(x[0], 1.0) * p1(x[1])) for x in pairs)
-        b = sum(math.log10((uni[x] + 1) / (total + len(uni) + 1)) for x in w)
-        want.append((-1 if i is None else i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(uni[x] > 0 for x in w), total, round(b, 4), round(s, 4)))
-    got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in katz.score(df).collect()]
+        s = sum(math.log10(p(w[max(k - order + 1, 0) : k + 1])) for k in range(1, len(w)))
+        b = sum(math.log10((count[1][x,] + 1) / (total + len(count[1]) + 1)) for x in w[1:])
+        want.append((-1 if i is None else i, held(i), len(w) - 1, sum(count[1][x,] > 0 for x in w[1:]), total, round(b, 4), round(s, 4)))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in katz.score(df, order).collect()]
     assert sorted(got) == sorted(want)
-    for h in list(after)[:200]:  # each history sums to one
-        seen = after[h]
-        assert sum(f(c, db) for _, c in seen) / hist[h] + alpha[h] * (1 - sum(p1(w) for w, _ in seen)) == pytest.approx(1)
+    for h in [h for h in after if len(h) == order - 1][:40]:  # each history sums to one: seen words, unseen ones, unknown ones
+        assert sum(p((*h, *g)) for g in count[1]) + weight(h) * p((*h[1:], b"?")) == pytest.approx(1)
 
 
 def test_katz_repeated_blocks(spark, monkeypatch):
