@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ FILE_ROWS, LEAST_FILES = 100_000, 8
 
 #: Bytes of input (as its files have them) that are worth a task of their own.
 TASK_BYTES = 16 << 20
+#: Time in which Python's side has released the plans that it no longer uses.
+RELEASE_SECONDS = 2.5
 #: More parts than 100 TB call for come from a size that is not known.
 MOST_PARTS = (100 << 40) // TASK_BYTES
 
@@ -76,8 +79,15 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files that no plan needs any more, as it does once the driver's garbage is collected."""
+    """Let Spark remove the shuffle files that no plan needs any more, as it does once the driver's garbage is collected.
+
+    Two things would keep the last query's plan, and so its shuffles, until a later call: Python's side lets go of
+    plans in a thread of its own, which looks about once a second; and the queues of Spark's listeners hold their last
+    event until the next one, here that of a query of one row.
+    """
     gc.collect()
+    time.sleep(RELEASE_SECONDS)
+    spark.range(1).collect()
     spark.sparkContext._jvm.System.gc()
 
 
